@@ -33,6 +33,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fotolake.llm.op4_decontamination import decontamination_report
+
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fotolake.llm.op9_quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fotolake.llm.op6_token_files import token_files
 
@@ -40,6 +52,6 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_packing, op3_sharding, op6_token_files)
+    f.__name__: f for f in (op1_token_counts, op2_packing, op3_sharding, op4_decontamination, op6_token_files, op9_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
