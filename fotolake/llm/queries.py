@@ -39,6 +39,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fotolake.llm.op7_jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fotolake.llm.op8_pii import pii_report
 
@@ -58,6 +64,6 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_packing, op3_sharding, op4_decontamination, op6_token_files, op8_pii, op9_quality_rules)
+    f.__name__: f for f in (op1_token_counts, op2_packing, op3_sharding, op4_decontamination, op6_token_files, op7_jaccard_join, op8_pii, op9_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
