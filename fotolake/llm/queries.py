@@ -57,13 +57,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fotolake.llm.op5_url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fotolake.llm.op6_token_files import token_files
 
     return token_files(table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fotolake.llm.op10_quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_packing, op3_sharding, op4_decontamination, op6_token_files, op7_jaccard_join, op8_pii, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_packing, op3_sharding, op4_decontamination, op5_url_filter,
+        op6_token_files, op7_jaccard_join, op8_pii, op9_quality_rules, op10_quality_classifier,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
