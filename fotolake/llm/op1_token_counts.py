@@ -1,7 +1,7 @@
 """Token counts by the whole-token shortcut.
 
-Offline, on the driver, ``prove`` finds which strings of the vocabulary encode alone as one token, and
-for which characters Python's own pattern splits as the tokenizer's does.  Executors then count
+Offline, on the driver, ``whole_strings`` finds which strings of the vocabulary encode alone as one token, and
+``prove`` for which characters Python's own pattern splits as the tokenizer's does.  Executors then count
 pre-tokens that are such strings directly, and merge only the rest (each distinct one once).
 A text that holds another character, or the string of an added token, goes through the library whole.
 
@@ -21,64 +21,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fotolake.llm.common import pick
-from fotolake.llm.tokens import is_byte_level, library, read_vocabulary, safe_blocks
+from fotolake.llm.tokens import SPLITS, Proof, library, prove, read_vocabulary, safe_blocks
 
-#: The byte-level split, where letters, digits and white space are as Python's re has them.
-SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 LIMIT = 512
-_PROOFS: dict[str, tuple[frozenset[str], str]] = {}
+_WHOLE: dict[str, frozenset[str]] = {}
 _COUNTERS: dict[str, Counter] = {}
 
 
-def prove(vocabulary: str) -> tuple[frozenset[str], str]:
-    """Strings that alone are one token, and a pattern for the characters that only the library may split."""
+def whole_strings(proof: Proof) -> frozenset[str]:
+    """Strings of the vocabulary that alone are one pre-token and one token."""
+    vocabulary, kind, _ = proof
     key = hashlib.md5(vocabulary.encode()).hexdigest()
-    if key not in _PROOFS:
-        spec, tok = json.loads(vocabulary), library(vocabulary)
-        if not is_byte_level(spec):
-            return frozenset(), "(?s:.)"
-        added = {a["content"] for a in spec.get("added_tokens", [])}
+    if kind == "other":
+        return frozenset()
+    if key not in _WHOLE:
+        tok = library(vocabulary)
+        added = {a["content"] for a in json.loads(vocabulary).get("added_tokens", [])}
         ids = [i for s, i in tok.get_vocab(with_added_tokens=False).items() if s not in added]
-        strings = [s for s in tok.decode_batch([[i] for i in ids], skip_special_tokens=False) if s and "�" not in s]
-        whole = frozenset(
+        strings = [s for s in tok.decode_batch([[i] for i in ids], skip_special_tokens=False) if s and "\ufffd" not in s]
+        _WHOLE[key] = frozenset(
             s for s, e in zip(strings, tok.encode_batch_fast(strings, add_special_tokens=False), strict=True)
-            if len(e.ids) == 1 and SPLIT.findall(s) == [s] and not any(a in s for a in added)
+            if len(e.ids) == 1 and SPLITS[kind].findall(s) == [s] and not any(a in s for a in added)
         )
-        split = tok.pre_tokenizer.pre_tokenize_str
-        odd = []
-        for c in range(0x10000):
-            if 0xD800 <= c < 0xE000:
-                continue
-            # The four classes show in which neighbours a character joins.
-            for probe in (f"a{chr(c)}a", f"1{chr(c)}1", f"!{chr(c)}!"):
-                if [p[1] for p in split(probe)] != _spans(probe):
-                    odd.append(c)
-                    break
-        _PROOFS[key] = whole, f"[{_classes(odd)}\U00010000-\U0010ffff]" + "".join("|" + re.escape(a) for a in sorted(added))
-    return _PROOFS[key]
-
-
-def _spans(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in SPLIT.finditer(text)]
-
-
-def _classes(codes: list[int]) -> str:
-    runs: list[list[int]] = []
-    for c in codes:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "\ud800-\udfff"
+    return _WHOLE[key]
 
 
 class Counter:
     """Counts tokens of texts; ``limit``: merged pre-tokens kept."""
 
-    def __init__(self, vocabulary: str, whole: frozenset[str], odd: str, limit: int = 500_000):
+    def __init__(self, proof: Proof, whole: frozenset[str], limit: int = 500_000):
+        vocabulary, self.kind, odd = proof
         self.tok, self.whole, self.limit = library(vocabulary), whole, limit
-        self.odd = re.compile(odd)
+        self.added = [a["content"] for a in json.loads(vocabulary).get("added_tokens", [])]
+        self.odd, self.split = re.compile(odd), SPLITS.get(self.kind, SPLITS["bytes"])
         self.merged: dict[str, int] = {}
 
     def count(self, texts: list[str | None]) -> list[int]:
@@ -87,11 +63,11 @@ class Counter:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.odd.search(text):
+            if self.odd.search(text) or any(a in text for a in self.added):
                 out[i] = len(self.tok.encode(text, add_special_tokens=False).ids)
                 continue
-            for block in safe_blocks(text):
-                pieces = SPLIT.findall(block)
+            for block in safe_blocks(text.lower() if self.kind == "words" else text):
+                pieces = self.split.findall(block)
                 rest = [p for p in pieces if p not in self.whole]
                 out[i] += len(pieces) - len(rest)
                 if rest:
@@ -117,15 +93,14 @@ class Counter:
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether there are more than ``limit`` tokens, for every row of docs."""
-    vocabulary = read_vocabulary(vocabulary_path)
-    whole, odd = prove(vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, whole, odd))  # as large as the vocabulary file
+    proof = prove(read_vocabulary(vocabulary_path))
+    sent = docs.sparkSession.sparkContext.broadcast((proof, whole_strings(proof)))  # as large as the vocabulary file
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, strings, pattern = sent.value
-        key = hashlib.md5(text.encode()).hexdigest()
+        known, strings = sent.value
+        key = hashlib.md5(known[0].encode()).hexdigest()
         if key not in _COUNTERS:
-            _COUNTERS[key] = Counter(text, strings, pattern)
+            _COUNTERS[key] = Counter(known, strings)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)

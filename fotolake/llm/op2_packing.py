@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fotolake.llm.common import materialize, pick, shuffle_partitions
-from fotolake.llm.tokens import encoder, read_vocabulary
+from fotolake.llm.tokens import encoder, prove, read_vocabulary
 
 CAPACITY, END_ID = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -32,7 +32,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def tokenize_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row for each piece; keep_ids adds the ids themselves as little-endian unsigned 32-bit integers."""
-    sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    sent = docs.sparkSession.sparkContext.broadcast(prove(read_vocabulary(vocabulary_path)))
     names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids
     end = np.array([end_id], "<u4").tobytes()
 

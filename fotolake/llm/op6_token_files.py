@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.llm.common import pick, scratch_root, shuffle_partitions
-from fotolake.llm.tokens import encoder, read_vocabulary
+from fotolake.llm.tokens import encoder, prove, read_vocabulary
 
 END_ID, SHARD_TOKENS = 2, 1 << 20
 MAGIC = b"WMTX0001"
@@ -162,7 +162,7 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
 def write_token_files(docs: DataFrame, vocabulary_path: str, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode every document, append the end id, and write shards of about ``shard_tokens`` tokens to path."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(read_vocabulary(vocabulary_path))
+    sent = spark.sparkContext.broadcast(prove(read_vocabulary(vocabulary_path)))
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

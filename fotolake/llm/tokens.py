@@ -1,24 +1,34 @@
 """Exact, fast use of tokenizer files on Python workers.
 
-``ChunkEncoder`` gives each text the ids that the tokenizers library gives it.  Words repeat, so it
-cuts texts at places where the library cuts as well, asks the library once for each distinct chunk
-and keeps the answers in a table of bounded size.
+``Encoder`` gives each text the ids that the tokenizers library gives it.  Pre-tokens repeat, and the library encodes
+each on its own; so texts are split by Python's own patterns, and the library is asked once for each distinct
+pre-token, whose answer is kept in a table of bounded size.  For which characters Python splits as the
+library does is proven beforehand, one by one (``prove``); texts with others go to the library whole.
 """
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import os
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 #: Characters that some Unicode tables call white space and others don't; no cut is made beside them.
 _ODD = "\u180e\u200b\ufeff"
 _CUT = re.compile(rf"(?<=[^\s{_ODD}]) (?=[^\s{_ODD}])")
-_ODD_SPACE = re.compile(rf"[\x1c-\x1f\x85{_ODD}]")
 BLOCK = 1 << 20
-_OPEN: dict[str, ChunkEncoder] = {}
+#: The splits, with letters, digits and white space as Python's re has them.
+SPLITS = {
+    "bytes": re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"),
+    "words": re.compile(r"[^\W\d_]+|\d|'s|'t|'re|'ve|'m|'ll|'d|(?:[^\s\w]|_)+"),
+}
+Proof = tuple[str, str, str]
+_PROOFS: dict[str, Proof] = {}
+_OPEN: dict[str, Encoder] = {}
 
 
 def read_vocabulary(path: str) -> str:
@@ -34,16 +44,9 @@ def library(text: str):
     return Tokenizer.from_str(text)
 
 
-def encoder(text: str) -> ChunkEncoder:
-    """One encoder for each tokenizer and Python worker."""
-    key = hashlib.md5(text.encode()).hexdigest()
-    if key not in _OPEN:
-        _OPEN[key] = ChunkEncoder(text)
-    return _OPEN[key]
-
-
-def safe_blocks(text: str, size: int = BLOCK) -> Iterator[str]:
+def safe_blocks(text: str, size: int | None = None) -> Iterator[str]:
     """Parts of about ``size`` characters; later ones start with a single space between two words."""
+    size = size or BLOCK
     at = 0
     while len(text) - at > size:
         cut = _CUT.search(text, at + size)
@@ -54,125 +57,121 @@ def safe_blocks(text: str, size: int = BLOCK) -> Iterator[str]:
     yield text[at:]
 
 
-def is_byte_level(spec: dict) -> bool:
-    """The file splits by the byte-level pattern of the library, so a lone space starts a pre-token."""
-    pre = spec.get("pre_tokenizer") or {}
-    return (
-        spec.get("normalizer") is None
-        and pre.get("type") == "ByteLevel"
-        and pre.get("use_regex", True)
-        and not pre.get("add_prefix_space")
-        and _plain_added(spec)
-    )
-
-
-def is_word_level(spec: dict) -> bool:
-    """White space is dropped, and every other rule of the file works within words."""
-    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    norm = (spec.get("normalizer") or {}).get("normalizers") or []
-    split = pre[0]
-    return (
-        split.get("type") == "Split"
-        and split.get("behavior") == "Removed"
-        and split.get("invert") is True
-        and r"[^\s\p{L}\p{N}]+" in str((split.get("pattern") or {}).get("Regex"))
-        and all(p.get("type") == "ByteLevel" and not p.get("use_regex", True) and not p.get("add_prefix_space") for p in pre[1:])
-        and all(n.get("type") in ("NFC", "Lowercase", "Replace") for n in norm)
-        and _plain_added(spec)
-    )
-
-
-def _plain_added(spec: dict) -> bool:
-    return all(not (a["lstrip"] or a["rstrip"] or a["single_word"]) and not re.search(r"\s", a["content"]) for a in spec.get("added_tokens", []))
-
-
-class ChunkEncoder:
-    """Ids as little-endian unsigned 32-bit integers.  ``limit``: chunks kept, some 200 bytes each."""
-
-    def __init__(self, text: str, limit: int = 500_000):
-        spec = json.loads(text)
-        self.tok = library(text)
-        self.kind = "bytes" if is_byte_level(spec) else "words" if is_word_level(spec) else "other"
-        self.limit = limit
-        self.known: dict[str, bytes | None] = {}
+def kind_of(spec: dict) -> str:
+    """bytes: split by the library's byte-level pattern.  words: lower case, white space dropped.  other: unknown."""
+    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    if any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"]) for a in spec.get("added_tokens", [])):
+        return "other"
+    if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
+        return "bytes"
+    parts = pre.get("pretokenizers") or [{}]
+    split = parts[0]
+    same = (split.get("pattern") or {}).get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    plain = all(p.get("type") == "ByteLevel" and not p.get("use_regex", True) and not p.get("add_prefix_space") for p in parts[1:])
+    if same and plain and split.get("behavior") == "Removed" and split.get("invert") and [n["type"] for n in (norm or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"]:
+        return "words"
+    return "other"
+
+
+def prove(vocabulary: str) -> Proof:
+    """The vocabulary, its kind, and a pattern of the characters that only the library may split.
+
+    In which neighbours a character joins tells its class, so three probes for each character are enough.
+    """
+    key = hashlib.md5(vocabulary.encode()).hexdigest()
+    if key not in _PROOFS:
+        spec, tok = json.loads(vocabulary), library(vocabulary)
+        kind = kind_of(spec)
+        odd = "(?s:.)"
+        if kind != "other":
+            bad = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not _as_library(tok, kind, chr(c))]
+            odd = f"[{_runs(bad)}\ud800-\udfff\U00010000-\U0010ffff]"
+        _PROOFS[key] = vocabulary, kind, odd
+    return _PROOFS[key]
+
+
+def _as_library(tok, kind: str, c: str) -> bool:
+    if kind == "words":
+        if unicodedata.category(c)[0] == "M" or "\u1100" <= c <= "\u11ff" or c == "\u03a3":
+            return False  # may join its neighbours, or lower-case by its place
+        if tok.normalizer.normalize_str(c) != (" " if c.isspace() else c.lower()):
+            return False
+        c = " " if c.isspace() else c.lower()
+    split = tok.pre_tokenizer.pre_tokenize_str
+    return all([p[1] for p in split(x)] == [m.span() for m in SPLITS[kind].finditer(x)] for x in (f"a{c}a", f"1{c}1", f"!{c}!"))
+
+
+def _runs(codes: list[int]) -> str:
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs)
+
+
+def encoder(proof: Proof) -> Encoder:
+    """One encoder for each tokenizer and Python worker."""
+    key = hashlib.md5(proof[0].encode()).hexdigest()
+    if key not in _OPEN:
+        _OPEN[key] = Encoder(proof)
+    return _OPEN[key]
+
+
+class Encoder:
+    """Ids as little-endian unsigned 32-bit integers.  ``limit``: pre-tokens kept, some 200 bytes each."""
+
+    def __init__(self, proof: Proof, limit: int = 900_000):
+        vocabulary, self.kind, odd = proof
+        self.tok, self.odd, self.limit = library(vocabulary), re.compile(odd), limit
+        self.added = [a["content"] for a in json.loads(vocabulary).get("added_tokens", [])]
+        self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        import array
-        import sys
-
         out = array.array("I", ids)
         if sys.byteorder == "big":
             out.byteswap()
         return out.tobytes()
 
-    def _cut(self, text: str, first: bool) -> tuple[list[str], set[str]] | None:
-        """Chunks, and those among them not seen yet; a chunk after a space in the table starts its text.
-
-        Before a lone space between two words the library always cuts, so chunks do not influence
-        each other.  None: only the library may cut this text.
-        """
-        if self.kind == "words":
-            if _ODD_SPACE.search(text):
-                return None
-            parts = text.split()
-            return parts, set(parts).difference(self.known)
-        parts = text.split(" ")
-        if not first:
-            del parts[0]
-        new = set(parts[first:]).difference(self.known)
-        if not all(map(self._clean, new)) or (first and len(parts) > 1 and not self._ends(parts[0])):
-            parts = _CUT.split(text if first else text[1:])
-            new = set(parts[first:]).difference(self.known)
-        if first:
-            parts[0] = " " + parts[0]
-            if parts[0] not in self.known:
-                new.add(parts[0])
-        return parts, new
-
-    def _clean(self, chunk: str) -> bool:
-        return chunk != "" and not (chunk[0].isspace() or chunk[0] in _ODD) and self._ends(chunk)
-
-    @staticmethod
-    def _ends(chunk: str) -> bool:
-        return chunk != "" and not (chunk[-1].isspace() or chunk[-1] in _ODD)
-
-    def _ask(self, chunks: list[str]) -> None:
-        sent = chunks if self.kind == "words" else [c[1:] if c[0] == " " else " " + c for c in chunks]
-        for c, e in zip(chunks, self.tok.encode_batch_fast(sent, add_special_tokens=False), strict=True):
-            self.known[c] = self._pack(e.ids)
+    def must_ask(self, text: str) -> bool:
+        return bool(self.odd.search(text)) or any(a in text for a in self.added)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; a null text counts as empty."""
-        waiting: list[list[list[str] | str]] = []
+        find = SPLITS.get(self.kind, SPLITS["bytes"]).findall
+        waiting: list[list[list[str]] | str] = []
         new: set[str] = set()
         size = 0
         for text in texts:
             text = text or ""
-            if self.kind == "other":
-                yield self.whole(text)
-                continue
-            parts: list[list[str] | str] = []
-            for k, block in enumerate(safe_blocks(text) if len(text) > BLOCK else (text,)):
-                cut = self._cut(block, k == 0) if block else ([], set())
-                parts.append(block if cut is None else cut[0])
-                new |= cut[1] if cut else set()
-            waiting.append(parts)
+            if self.must_ask(text):
+                waiting.append(text)
+            else:
+                if self.kind == "words":
+                    text = text.lower()
+                parts = [find(block) for block in (safe_blocks(text) if len(text) > BLOCK else (text,))]
+                for p in parts:
+                    new.update(set(p).difference(self.known))
+                waiting.append(parts)
             size += len(text)
             if size >= BLOCK:
                 yield from self._flush(waiting, new)
                 waiting, new, size = [], set(), 0
         yield from self._flush(waiting, new)
 
-    def _flush(self, waiting: list[list[list[str] | str]], new: set[str]) -> Iterator[bytes]:
+    def _flush(self, waiting: list[list[list[str]] | str], new: set[str]) -> Iterator[bytes]:
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
-            new = {c for parts in waiting for p in parts if not isinstance(p, str) for c in p}
+            new = {c for parts in waiting if not isinstance(parts, str) for p in parts for c in p}
         if new:
-            self._ask(list(new))
+            ask = list(new)
+            for c, e in zip(ask, self.tok.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+                self.known[c] = self._pack(e.ids)
         get = self.known.__getitem__
         for parts in waiting:
-            yield b"".join([self.whole(p) if isinstance(p, str) else b"".join(map(get, p)) for p in parts])
+            yield self.whole(parts) if isinstance(parts, str) else b"".join([b"".join(map(get, p)) for p in parts])

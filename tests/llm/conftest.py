@@ -1,25 +1,5 @@
 import pytest
-from pyspark.sql import SparkSession
-
-
-@pytest.fixture(scope="session")
-def spark():
-    s = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
-    )
-    s.sparkContext.setLogLevel("ERROR")
-    return s
-
-
-SMALL = "/root/testdata/sf0.001"
-ODD = [
-    None, "", "   ", "a", "Hello  world\n\n  it's don't <|endoftext|> x", "  lead", "trail \n", "tab\tx y", "é ² ½ ⅷ ٣ 漢字 かな", "x᠎y z​w ﻿q",
-    "it's we're I'll 'd 's' 12345 67 ...!!", "a" * 3000, "word " * 5000, "\x1c\x1d a\x1fb", " nb sp", "🙂 smile 👩‍👩‍👧 fam", "ÉCOLE école İstanbul ΣΑΣ", "<|startoftext|> hey <|endoftext|>", "é combining  x", "\n\n a", "a \n b", "end<|endoftext|>", "a   b    c \t d",
-]
+from llm_samples import ODD
 
 
 @pytest.fixture(scope="session")

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import SMALL
+from llm_samples import SMALL
 
 from fotolake.llm import op10_quality_classifier as c
 

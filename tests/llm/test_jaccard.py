@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import ODD, SMALL
+from llm_samples import ODD, SMALL
 
 from fotolake.llm import op7_jaccard_join as j
 from fotolake.llm.components import connected_components

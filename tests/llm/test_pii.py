@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import ODD, SMALL
+from llm_samples import ODD, SMALL
 
 from fotolake.llm import op8_pii as p
 

@@ -1,4 +1,4 @@
-from conftest import SMALL
+from llm_samples import SMALL
 from test_jaccard import brute as groups
 from test_pii import brute as personal
 from test_rules import brute_hits

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import ODD, SMALL
+from llm_samples import ODD, SMALL
 
 from fotolake.llm import op4_decontamination as d
 from fotolake.llm import op9_quality_rules as q

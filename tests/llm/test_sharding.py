@@ -1,6 +1,6 @@
 import zlib
 
-from conftest import SMALL
+from llm_samples import SMALL
 
 from fotolake.llm import op3_sharding as s
 

@@ -3,11 +3,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD, SMALL
+from llm_samples import ODD, SMALL
 from tokenizers import Tokenizer
 
 from fotolake.llm import op1_token_counts, op2_packing, op6_token_files
-from fotolake.llm.tokens import ChunkEncoder, read_vocabulary
+from fotolake.llm.tokens import Encoder, prove, read_vocabulary
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,10 +18,10 @@ def _small(spark):
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 @pytest.mark.parametrize("limit", [500_000, 5])
-def test_chunks_give_the_librarys_ids(spark, path, limit):
+def test_pretokens_give_the_librarys_ids(spark, path, limit):
     texts = ODD + [r.text for r in _small(spark).collect()][: 60 if limit > 5 else 5]
     tok = Tokenizer.from_file(path)
-    enc = ChunkEncoder(read_vocabulary(path), limit)
+    enc = Encoder(prove(read_vocabulary(path)), limit)
     assert enc.kind != "other"
     for t, got in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
@@ -33,7 +33,7 @@ def test_blocks_of_long_texts(monkeypatch):
     text = "Some words, that  repeat\n and more. " * 400
     monkeypatch.setattr(tokens, "BLOCK", 100)
     for path in (BYTES, WORDS):
-        (got,) = ChunkEncoder(read_vocabulary(path)).encode([text])
+        (got,) = Encoder(prove(read_vocabulary(path))).encode([text])
         assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
     assert "".join(tokens.safe_blocks(text, 50)) == text
 
@@ -48,8 +48,7 @@ def test_counts(spark, odd):
 
 
 def test_whole_strings_are_proven():
-    text = read_vocabulary(BYTES)
-    whole, _ = op1_token_counts.prove(text)
+    whole = op1_token_counts.whole_strings(prove(read_vocabulary(BYTES)))
     assert len(whole) > 40_000 and " the" in whole and "<|endoftext|>" not in whole
 
 
@@ -123,3 +122,13 @@ def test_token_files(spark, odd, tmp_path):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
         assert op6_token_files.export(str(tmp_path / f"t{k}"), docs, str(tmp_path / f"x{k}")) > 1
     assert op6_token_files.token_files(odd.limit(0), BYTES).count() == 0
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_every_character_in_context(path):
+    """Each character of the basic plane, beside letters, digits, marks and spaces, against the library."""
+    proof = prove(read_vocabulary(path))
+    tok, enc = Tokenizer.from_file(path), Encoder(proof)
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)} .{chr(c)}\n{chr(c)} " for c in range(k, k + 16)) for k in range(0, 0x3400, 16)]
+    for t, got in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)

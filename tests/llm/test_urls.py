@@ -1,6 +1,6 @@
 import re
 
-from conftest import SMALL
+from llm_samples import SMALL
 
 from fotolake.llm import op5_url_filter as u
 
