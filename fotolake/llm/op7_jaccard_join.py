@@ -8,10 +8,9 @@
 4. Index-level skipping: sets of a list stand in blocks of equal size, ordered by position, and a block
    is left where the position alone rules out that enough shingles remain in common.
 5. Answer-level skipping: in a list of three sets and more, sets are first compared with one of them, the
-   head.  Where that ties the whole list into one component, the list is done.  Else pairs across
-   components are derived from the answers of the head: with x and y in common with it o_x and o_y, they have
-   at most min(o_x, o_y) + min(n_x - o_x, n_y - o_y) in common; only pairs that may reach the
-   threshold are compared.
+   head.  Where its answers tie the whole list into one component, the list is done.  Else the sets that may
+   still link across components are gathered by head, over all its lists, in tiles of bounded size; within a
+   tile each set gets its answers for all others at once, and pairs of one component are skipped.
 So every link lies within a component, and no pair that could link two components is left out.  A large
 group of near copies costs a comparison for each set, not for each pair.
 
@@ -201,28 +200,33 @@ def compare(pairs: DataFrame, pool: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(_compare, COMPARED)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components that the head's answers don't rule out.  Rows come sorted by s."""
+def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members that may still link with a member of another component of their list.  Rows come sorted by s.
+
+    Members stand in blocks of equal size; of each block only the best position, and the best one of
+    another component, are looked at.
+    """
     kept: list[pa.RecordBatch] = []
 
-    def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        ident, n, rest, comp = (t.column(c).to_numpy() for c in ("id", "n", "rest", "comp"))
-        o = t.column("common").fill_null(-1).to_numpy()
-        order = np.lexsort((-rest, n))  # blocks of equal size, by position
-        ident, n, rest, comp, o = (x[order] for x in (ident, n, rest, comp, o))
-        for i in range(len(n)):
-            last = int(np.searchsorted(n, 4 * n[i] // 3, side="right"))
-            j = np.arange(i + 1, last)
-            ok = (comp[j] != comp[i]) & may_link(n[i], rest[i], n[j], rest[j])
-            bound = np.where((o[i] >= 0) & (o[j] >= 0), np.minimum(o[i], o[j]) + np.minimum(n[i] - o[i], n[j] - o[j]), np.minimum(n[i], n[j]))
-            j = j[ok & (7 * bound >= 3 * (n[i] + n[j]))]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ident[i], ident[j])), pa.array(np.minimum(ident[i], ident[j]))], ["a", "b"])
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if kept:
-            yield from work(pa.Table.from_batches(kept))
-            kept.clear()
+    def work(t: pa.Table) -> pa.RecordBatch:
+        ident, head, n, rest, comp = (t.column(c).to_numpy() for c in ("id", "head_id", "n", "rest", "comp"))
+        order = np.lexsort((-rest, n))
+        ident, head, n, rest, comp = (x[order] for x in (ident, head, n, rest, comp))
+        cut = np.r_[np.flatnonzero(np.r_[True, n[1:] != n[:-1]]), len(n)]
+        size, best, who = n[cut[:-1]], rest[cut[:-1]], comp[cut[:-1]]
+        other = np.full(len(size), -1)
+        for k in range(len(size)):
+            of = np.flatnonzero(comp[cut[k] : cut[k + 1]] != who[k])
+            if len(of):
+                other[k] = rest[cut[k] + of[0]]
+        stays = np.zeros(len(n), bool)
+        for k in range(len(size)):
+            own = slice(cut[k], cut[k + 1])
+            near = np.flatnonzero(4 * np.minimum(size, size[k]) >= 3 * np.maximum(size, size[k]))
+            for j in near:
+                reach = np.where(comp[own] != who[j], best[j], other[j])
+                stays[own] |= 7 * np.minimum(rest[own], reach) >= 3 * (size[k] + size[j])
+        return pa.RecordBatch.from_arrays([pa.array(head[stays]), pa.array(ident[stays]), pa.array(comp[stays])], ["head_id", "id", "comp"])
 
     now = None
     for b in batches:
@@ -231,11 +235,82 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(cuts, cuts[1:], strict=False):
             if x == y:
                 continue
-            if s[x] != now:
-                yield from done()
-                now = s[x]
+            if s[x] != now and kept:
+                yield work(pa.Table.from_batches(kept))
+                kept.clear()
+            now = s[x]
             kept.append(b.slice(x, y - x))
-    yield from done()
+    if kept:
+        yield work(pa.Table.from_batches(kept))
+
+
+TILE = 6_000
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components among the members of each tile.  Rows come sorted by tile.
+
+    A set meets all others of its tile at once through an index of the tile.  Sets of the largest component are
+    not asked, for they meet all others from the other side; and of the links from a set to one component the first is given.
+    """
+    rows: list[tuple] = []
+    now = None
+
+    def work() -> pa.RecordBatch:
+        ids, comps = np.array([r[0] for r in rows]), [r[1] for r in rows]
+        sets = [shingle_set(r[2]) for r in rows]
+        n = np.array([len(s) for s in sets], np.int64)
+        every = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        root = {c: c for c in comps}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        names, counts = np.unique(comps, return_counts=True)
+        largest = int(names[counts.argmax()])
+        out: list[tuple[int, int, int]] = []
+        for i, s in enumerate(sets):
+            if comps[i] == largest:
+                continue
+            lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
+            width = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero((common > 0) & (7 * common >= 3 * (n + n[i]))):
+                x, y = find(comps[i]), find(comps[j])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j])), int(common[j])))
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["a", "b", "common"])
+
+    for b in batches:
+        for tile, *row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            if tile != now and rows:
+                yield work()
+            now = tile
+            rows.append(tuple(row))
+    if rows:
+        yield work()
+
+
+def links_across(members: DataFrame, pool: DataFrame) -> DataFrame:
+    """a, b, common of links between components.  members: head_id, id, comp, distinct.
+
+    The members of a head are dealt into chunks of TILE at most; each pair of chunks is a tile, worked on by itself.
+    """
+    chunks = members.groupBy("head_id").agg(F.count("*").alias("n")).select("head_id", F.expr(f"cast((n - 1) div {TILE // 2} + 1 as int)").alias("chunks"))
+    dealt = members.join(chunks, "head_id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    pair = F.struct("head_id", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    tiles = dealt.withColumn("other", other).select(F.xxhash64(pair["head_id"], pair["i"], pair["j"]).alias("tile"), "id", "comp")
+    rows = tiles.join(pool, "id").select("tile", "id", "comp", "text").repartition("tile").sortWithinPartitions("tile", "id")
+    return rows.mapInArrow(_tile_links, "a long, b long, common long")
 
 
 LINK = "common > 0 and 7 * common >= 3 * (n + head_n)"
@@ -268,21 +343,13 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = links.select("a", "b").unionByName(twice)
     roots = connected_components(edges)
 
-    # Lists that more than one component is left in.
-    known = met.groupBy("sig", "n").agg(F.collect_set(F.struct("head", "head_n", "common")).alias("answers"))
-    answer = F.try_element_at(F.filter("answers", lambda x: (x["head"] == F.col("head")) & (x["head_n"] == F.col("head_n"))), F.lit(1))["common"]
-    told = (
-        members.join(roots, F.col("a") == F.col("node"), "left").join(known, ["sig", "n"], "left")
-        .select(
-            "s", F.col("a").alias("id"), "n", "rest", F.coalesce("root", "a").alias("comp"),
-            F.when((F.col("sig") == F.col("head")) & (F.col("n") == F.col("head_n")), F.col("n")).when(F.size("answers") > 0, answer).alias("common"),
-        )
-    )
-    told = materialize(told, "told")
+    # Members of lists that more than one component is left in, gathered by head.
+    told = members.join(roots, F.col("a") == F.col("node"), "left").join(b, ["head", "head_n"])
+    told = materialize(told.select("s", F.col("a").alias("id"), F.col("b").alias("head_id"), "n", "rest", F.coalesce("root", "a").alias("comp")), "told")
     open_ = told.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    left = told.join(open_, "s", "left_semi").repartition("s").sortWithinPartitions("s").select("s", "id", "n", "rest", "comp", "common")
-    more = materialize(left.mapInArrow(_across, "a long, b long").distinct(), "across")
-    late = materialize(compare(more, pool).where(LINK).where("a <> b").select("a", "b", "common"), "late")
+    left = told.join(open_, "s", "left_semi").repartition("s").sortWithinPartitions("s")
+    gathered = materialize(left.mapInArrow(_open_members, "head_id long, id long, comp long").distinct(), "gathered")
+    late = materialize(links_across(gathered, pool), "late")
     if late.limit(1).count():
         links = links.unionByName(late)
         roots = connected_components(edges.unionByName(late.select("a", "b")))
