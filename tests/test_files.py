@@ -235,3 +235,16 @@ def test_catalogue(spark, tmp_path):
     tags = exif.catalogue(spark, str(listing))
     rows = exif.with_names(spark.createDataFrame([(271,), (1,)], "tag int"), tags).collect()
     assert {r.tag: (r.name, r.section) for r in rows} == {271: ("Make", "IFD0"), 1: (None, None)}
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    from fotolake.__main__ import main
+
+    assert main(["exif", str(folder)]) == 0
+    lines = {x.split("\t")[0].rsplit("/", 1)[1]: x.split("\t")[1:] for x in capsys.readouterr().out.splitlines()}
+    assert json.loads(lines["c.jpg"][1]) == {"271": {"Ascii": "Make"}} and lines["e.pdf"] == ["pdf", "{}"] and lines["d.jpg"] == ["jpeg", "error: no EXIF data"]
+    assert main(["convert", str(folder / "a.png"), str(tmp_path / "o"), "4", "2"]) == 0
+    target = capsys.readouterr().out.strip().split("\t")[1]
+    with open(target, "rb") as f:
+        assert read_png(f.read()).shape == (2, 4, 3)
+    assert main([]) == 2
