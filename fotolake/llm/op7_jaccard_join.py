@@ -34,7 +34,7 @@ from fotolake.llm.common import materialize, pick, shuffle_partitions
 from fotolake.llm.components import connected_components
 from fotolake.llm.shingles import shingle_set, signature
 
-WIDTH_BITS, PARTS = 22, 64
+WIDTH_BITS, PARTS, BROADCAST_IDS = 22, 64, 1_000_000
 POSTING = np.dtype([("s", "<i8"), ("sig", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -334,7 +334,10 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = materialize(stars.select("a", "b"), "stars")
     members = lists.where("not pair").join(a, ["sig", "n"])
     wanted = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).unionByName(members.select(F.col("a").alias("id"))).distinct()
-    pool = materialize(base.withColumnRenamed("doc_id", "id").join(wanted, "id"), "pool")
+    wanted = materialize(wanted, "wanted")
+    # A checked number of ids is sent to all tasks, which spares a shuffle of all texts; more of them are joined by shuffle.
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    pool = materialize(base.withColumnRenamed("doc_id", "id").join(few, "id"), "pool")
     met = materialize(compare(stars.distinct(), pool), "met")
     links = met.where(LINK).select("a", "b", "common").where("a <> b")
     # An id with several texts ties their classes together.
