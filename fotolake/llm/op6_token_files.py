@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,11 +45,12 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, tokens: np.ndarray, bits: int | None = None) -> WaveletMatrix:
-        now = np.ascontiguousarray(tokens, np.uint32)
-        bits = bits or max(1, int(now.max(initial=0)).bit_length())
+        bits = bits or max(1, int(tokens.max(initial=0)).bit_length())
+        kind = np.uint16 if bits <= 16 else np.uint32
+        now = np.ascontiguousarray(tokens, kind)
         planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
-            ones = (now >> np.uint32(b)) & np.uint32(1) == 1
+            ones = now & kind(1 << b) != 0
             planes.append(np.packbits(ones))
             low = now[~ones]
             zeros.append(len(low))
@@ -57,14 +59,15 @@ class WaveletMatrix:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order, plane by plane from the last to the first."""
-        value = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        value = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[k], count=self.n).view(bool)
-            out = np.empty(self.n, np.uint32)
+            out = np.empty(self.n, kind)
             out[~ones] = value[: self.zeros[k]]
-            out[ones] = value[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            out[ones] = value[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             value = out
-        return value
+        return value.astype(np.uint32)
 
     def _counts(self, k: int) -> np.ndarray:
         if k not in self._ranks:
@@ -134,11 +137,12 @@ class WaveletMatrix:
 
 def write_image(ids: list[int | None], lengths: list[int], tokens: np.ndarray) -> bytes:
     wm = WaveletMatrix.build(tokens)
+    small = zstandard.ZstdCompressor(level=1).compress
     parts = [
-        zlib.compress(np.array([x or 0 for x in ids], "<i8").tobytes(), 1),
-        zlib.compress(np.packbits([x is not None for x in ids]).tobytes(), 1),
-        zlib.compress(np.array(lengths, "<i8").tobytes(), 1),
-        *[zlib.compress(p.tobytes(), 1) for p in wm.planes],
+        small(np.array([x or 0 for x in ids], "<i8").tobytes()),
+        small(np.packbits([x is not None for x in ids]).tobytes()),
+        small(np.array(lengths, "<i8").tobytes()),
+        *[small(p.tobytes()) for p in wm.planes],
     ]
     head = json.dumps({"n": wm.n, "docs": len(ids), "bits": wm.bits, "zeros": wm.zeros, "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
@@ -150,8 +154,9 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatri
     (n,) = struct.unpack_from("<I", image, 8)
     head = json.loads(image[12 : 12 + n])
     at, parts = 12 + n, []
+    large = zstandard.ZstdDecompressor().decompress
     for s in head["sizes"]:
-        parts.append(zlib.decompress(image[at : at + s]))
+        parts.append(large(image[at : at + s]))
         at += s
     there = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=head["docs"])
     ids = [int(x) if ok else None for x, ok in zip(np.frombuffer(parts[0], "<i8"), there, strict=True)]
