@@ -5,25 +5,24 @@
    but no result, since any one order does.
 3. Each set puts its prefix (the n - ceil(3n/4) + 1 first shingles) into an index, each with its
    position.  Index lists are dealt by shingle and deduplicated before they are sent.
-4. Index-level skipping: sets of a list stand in blocks of equal size, ordered by position, and a block
-   is left where the position alone rules out that enough shingles remain in common.
-5. Answer-level skipping: in a list of three sets and more, sets are first compared with one of them, the
-   head.  Where its answers tie the whole list into one component, the list is done.  Else the sets that may
-   still link across components are gathered by head, over all its lists, in tiles of bounded size; within a
-   tile each set gets its answers for all others at once, and pairs of one component are skipped.
-So every link lies within a component, and no pair that could link two components is left out.  A large
-group of near copies costs a comparison for each set, not for each pair.
+4. Index-level skipping: a set stays in a list only where another set of that list could still link with it,
+   by their sizes and by the shingles that remain after the shared one.
+5. The sets that stay are gathered by the head of their lists, over all its lists, in tiles of bounded size;
+   within a tile each set gets its answers for all others at once.  A pair that meets under several heads is
+   answered under the least of them, so each link between distinct sets is counted once.
+Components and the number of links of each set are exact.  Copies are one set and are not expanded, and links
+are counted within tiles, so what is stored grows with the members of tiles; the time within a large
+group of near copies grows with the square of the group.
 
 Defined cases: texts without words have an empty set and link with nothing; rows with one id are one node, which has the
-links of all its texts; rows with a null id link with nothing and have a null component; repeated rows
-are returned each; no documents give no rows; extra columns are ignored.
+links of all its texts, but each row has the number of links of its own text; rows with a null id link with
+nothing and have a null component and no links; repeated rows are returned each; no documents give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,199 +124,189 @@ def _index(order, buckets: int):
     return work
 
 
-def may_link(na, ra, nb, rb):
-    """Size and position filter: sizes, and shingles from the shared one to the end.  Works on arrays."""
-    return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * np.minimum(ra, rb) >= 3 * (na + nb))
+def _reach(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
+    """The largest value of each range lo..hi (hi left out), by a table of maxima over powers of two."""
+    size = np.maximum(hi - lo, 0)
+    out = np.full(len(lo), np.iinfo(np.int64).min)
+    level = np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1
+    for k in np.unique(level[size > 0]):
+        while len(table) <= k:
+            last, half = table[-1], 1 << (len(table) - 1)
+            table.append(np.maximum(last[:-half], last[half:]))
+        at = np.flatnonzero((size > 0) & (level == k))
+        out[at] = np.maximum(table[k][lo[at]], table[k][hi[at] - (1 << k)])
+    return out
+
+
+def may_link(s: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Whether each posting could link with another of its list.  Postings come sorted by s and n.
+
+    a and b can where 4 * min(n) >= 3 * max(n) and 7 * min(rest) >= 3 * (n of a + n of b).
+    """
+    if not len(s):
+        return np.zeros(0, bool)
+    spare = 7 * rest - 3 * n
+    width = int(n.max()) + 2
+    base = np.cumsum(np.r_[False, s[1:] != s[:-1]]) * width
+    key, i = base + n, np.arange(len(s))
+    lo = np.searchsorted(key, base + (3 * n + 3) // 4, "left")
+    hi = np.searchsorted(key, base + np.clip(np.minimum(4 * n // 3, spare // 3), 0, width - 1), "right")
+    table = [spare]
+    best = np.maximum(_reach(spare, lo, np.minimum(i, hi), table), _reach(spare, np.maximum(i + 1, lo), hi, table))
+    return best >= 3 * n
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to compare (other null), and the members of lists of three and more (s, sig, n, pos, head)."""
+    """The sets that may link, with the head (a signature) of each list that says so."""
     blobs = [x.as_py() for b in batches for x in b.column(1)]
     if not blobs:
         return
     p = np.concatenate([np.frombuffer(x, POSTING) for x in blobs])
     del blobs
-    p = p[np.lexsort((p["n"], p["sig"], p["s"]))]
+    p = p[np.lexsort((p["sig"], p["n"], p["s"]))]
     p = p[np.r_[True, (p["s"][1:] != p["s"][:-1]) | (p["sig"][1:] != p["sig"][:-1]) | (p["n"][1:] != p["n"][:-1])]]
-    cut = np.flatnonzero(np.r_[True, p["s"][1:] != p["s"][:-1]])
-    length = np.diff(np.r_[cut, len(p)])
-    head = np.repeat(cut, length)
-    several = np.repeat(length, length) > 1
-    rest = (p["n"] - p["pos"]).astype(np.int64)
+    near = p["s"][1:] == p["s"][:-1]
+    p = p[np.r_[False, near] | np.r_[near, False]]
     n = p["n"].astype(np.int64)
-    star = several & (np.arange(len(p)) != head) & may_link(n, rest, n[head], rest[head])
-    pairs = np.unique(np.stack([p["sig"][star], n[star], p["sig"][head[star]], n[head[star]]], axis=1), axis=0)
-    none = lambda m, k: pa.nulls(m, k)
-    names = ["s", "sig", "n", "rest", "head", "head_n", "pair"]
-    for at in range(0, len(pairs), 100_000):
-        x = pairs[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([none(len(x), pa.int64()), pa.array(x[:, 0]), pa.array(x[:, 1]), none(len(x), pa.int64()), pa.array(x[:, 2]), pa.array(x[:, 3]), pa.array(np.ones(len(x), bool))], names)
-    # Of lists with the same members one is kept, with the loosest positions.
-    groups: dict[bytes, np.ndarray] = {}
-    which: dict[bytes, int] = {}
-    for c, m in zip(cut[length > 2], length[length > 2], strict=True):
-        key = hashlib.blake2b(p["sig"][c : c + m].tobytes() + p["n"][c : c + m].tobytes(), digest_size=16).digest()
-        groups[key] = np.maximum(groups[key], rest[c : c + m]) if key in groups else rest[c : c + m]
-        which.setdefault(key, int(c))
-    held: list[tuple] = []
-    size = 0
-    for key, r in groups.items():
-        c, m = which[key], len(r)
-        held.append((p["s"][c : c + m], p["sig"][c : c + m], n[c : c + m], r, np.full(m, p["sig"][c]), np.full(m, n[c]), np.zeros(m, bool)))
-        size += m
-        if size > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*held, strict=True)], names)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*held, strict=True)], names)
-
-
-LISTS = "s long, sig long, n long, rest long, head long, head_n long, pair boolean"
-
-
-COMPARED = "a long, b long, sig long, n long, head long, head_n long, common long"
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last: tuple[str | None, np.ndarray, int] = (None, np.empty(0, np.uint64), 0)
-    for b in batches:
-        rows = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            head = y.as_py()
-            if head != last[0]:
-                t = shingle_set(head)
-                last = head, t, signature(t)
-            s = shingle_set(x.as_py())
-            rows.append((signature(s), len(s), last[2], len(last[1]), len(np.intersect1d(s, last[1], assume_unique=True))))
-        cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 5
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], [c.split()[0] for c in COMPARED.split(", ")])
-
-
-def compare(pairs: DataFrame, pool: DataFrame) -> DataFrame:
-    """The sets of each pair of ids, and exactly how many shingles they have in common.  pool: id, text."""
-    left = pairs.join(pool.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(pool.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_compare, COMPARED)
-
-
-def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members that may still link with a member of another component of their list.  Rows come sorted by s.
-
-    Members stand in blocks of equal size; of each block only the best position, and the best one of
-    another component, are looked at.
-    """
-    kept: list[pa.RecordBatch] = []
-
-    def work(t: pa.Table) -> pa.RecordBatch:
-        ident, head, n, rest, comp = (t.column(c).to_numpy() for c in ("id", "head_id", "n", "rest", "comp"))
-        order = np.lexsort((-rest, n))
-        ident, head, n, rest, comp = (x[order] for x in (ident, head, n, rest, comp))
-        cut = np.r_[np.flatnonzero(np.r_[True, n[1:] != n[:-1]]), len(n)]
-        size, best, who = n[cut[:-1]], rest[cut[:-1]], comp[cut[:-1]]
-        other = np.full(len(size), -1)
-        for k in range(len(size)):
-            of = np.flatnonzero(comp[cut[k] : cut[k + 1]] != who[k])
-            if len(of):
-                other[k] = rest[cut[k] + of[0]]
-        stays = np.zeros(len(n), bool)
-        for k in range(len(size)):
-            own = slice(cut[k], cut[k + 1])
-            near = np.flatnonzero(4 * np.minimum(size, size[k]) >= 3 * np.maximum(size, size[k]))
-            for j in near:
-                reach = np.where(comp[own] != who[j], best[j], other[j])
-                stays[own] |= 7 * np.minimum(rest[own], reach) >= 3 * (size[k] + size[j])
-        return pa.RecordBatch.from_arrays([pa.array(head[stays]), pa.array(ident[stays]), pa.array(comp[stays])], ["head_id", "id", "comp"])
-
-    now = None
-    for b in batches:
-        s = b.column("s").to_numpy()
-        cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            if x == y:
-                continue
-            if s[x] != now and kept:
-                yield work(pa.Table.from_batches(kept))
-                kept.clear()
-            now = s[x]
-            kept.append(b.slice(x, y - x))
-    if kept:
-        yield work(pa.Table.from_batches(kept))
+    p = p[may_link(p["s"], n, n - p["pos"])]
+    p = p[np.lexsort((p["n"], p["sig"], p["s"]))]
+    cut = np.flatnonzero(np.r_[True, p["s"][1:] != p["s"][:-1]][: len(p)])
+    head = np.repeat(p["sig"][cut], np.diff(np.r_[cut, len(p)]))
+    rows = np.unique(np.stack([p["sig"], p["n"].astype(np.int64), head], axis=1), axis=0)
+    for at in range(0, len(rows), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 100_000, k]) for k in range(3)], ["sig", "n", "head"])
 
 
-TILE = 6_000
+TILE, POSTINGS_AT_ONCE = 6_000, 2_000_000
+ANSWERS = "sig long, n long, links long, a long, b long, common long"
 
 
-def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components among the members of each tile.  Rows come sorted by tile.
+class _Tile:
+    """The distinct sets of a tile and an index of their shingles."""
 
-    A set meets all others of its tile at once through an index of the tile.  Sets of the largest component are
-    not asked, for they meet all others from the other side; and of the links from a set to one component the first is given.
-    """
-    rows: list[tuple] = []
-    now = None
-
-    def work() -> pa.RecordBatch:
-        ids, comps = np.array([r[0] for r in rows]), [r[1] for r in rows]
-        sets = [shingle_set(r[2]) for r in rows]
-        n = np.array([len(s) for s in sets], np.int64)
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.n = np.array([len(s) for s in sets], np.int64)
         every = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), n)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.n)
         order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        root = {c: c for c in comps}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        names, counts = np.unique(comps, return_counts=True)
-        largest = int(names[counts.argmax()])
-        out: list[tuple[int, int, int]] = []
-        for i, s in enumerate(sets):
-            if comps[i] == largest:
-                continue
-            lo, hi = np.searchsorted(every, s, "left"), np.searchsorted(every, s, "right")
-            width = hi - lo
-            at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-            common = np.bincount(owner[at], minlength=len(sets))
-            for j in np.flatnonzero((common > 0) & (7 * common >= 3 * (n + n[i]))):
-                x, y = find(comps[i]), find(comps[j])
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j])), int(common[j])))
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["a", "b", "common"])
+        self.every, self.owner = every[order], owner[order]
 
-    for b in batches:
-        for tile, *row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            if tile != now and rows:
-                yield work()
-            now = tile
-            rows.append(tuple(row))
-    if rows:
-        yield work()
+    def met(self, s: np.ndarray) -> np.ndarray:
+        """How many of the shingles s each set has."""
+        out = np.zeros(len(self.sets), np.int64)
+        lo, hi = np.searchsorted(self.every, s, "left"), np.searchsorted(self.every, s, "right")
+        part = np.cumsum(hi - lo) // POSTINGS_AT_ONCE
+        for k in np.unique(part):
+            own = part == k
+            first, width = lo[own], (hi - lo)[own]
+            at = np.repeat(first - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+            out += np.bincount(self.owner[at], minlength=len(out))
+        return out
+
+    def common(self, i: int) -> np.ndarray:
+        return self.met(self.sets[i])
 
 
-def links_across(members: DataFrame, pool: DataFrame) -> DataFrame:
-    """a, b, common of links between components.  members: head_id, id, comp, distinct.
+def _answers(each: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links among the sets of each tile.  Rows come sorted by head, i, j and chunk.
 
-    The members of a head are dealt into chunks of TILE at most; each pair of chunks is a tile, worked on by itself.
+    ``each`` gives every link.  Otherwise each set's number of links comes (links), and links that tie what all links tie.
     """
-    chunks = members.groupBy("head_id").agg(F.count("*").alias("n")).select("head_id", F.expr(f"cast((n - 1) div {TILE // 2} + 1 as int)").alias("chunks"))
-    dealt = members.join(chunks, "head_id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    pair = F.struct("head_id", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    tiles = dealt.withColumn("other", other).select(F.xxhash64(pair["head_id"], pair["i"], pair["j"]).alias("tile"), "id", "comp")
-    rows = tiles.join(pool, "id").select("tile", "id", "comp", "text").repartition("tile").sortWithinPartitions("tile", "id")
-    return rows.mapInArrow(_tile_links, "a long, b long, common long")
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], [c.split()[0] for c in ANSWERS.split(", ")])
 
-LINK = "common > 0 and 7 * common >= 3 * (n + head_n)"
+    def work(tile: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, first, second = tile
+        kept, sets, seen = [], [], set()
+        for r in rows:
+            if r[1:3] in seen:
+                continue
+            s = shingle_set(r[5])
+            if len(s) == r[2] and signature(s) == r[1]:  # not another text of that id
+                seen.add(r[1:3])
+                kept.append(r)
+                sets.append(s)
+        rows.clear()
+        m = len(sets)
+        if m < 2:
+            return
+        t = _Tile(sets)
+        ids = [r[3] for r in kept]
+        # Pairs that also meet under a lesser head are answered there.
+        under: dict[int, list[int]] = {}
+        for i, r in enumerate(kept):
+            for h in r[4]:
+                under.setdefault(h, []).append(i)
+        lesser = {h: np.array(x) for h, x in under.items()}
+        asked = m if first == second else sum(r[0] == first for r in kept)
+        total = np.zeros(m, np.int64)
+        label = np.arange(m)
+        out: list[tuple] = []
+        for i in range(asked):
+            common = t.common(i)
+            holds = (common > 0) & (7 * common >= 3 * (t.n + t.n[i]))
+            holds[: i + 1 if first == second else asked] = False
+            for h in kept[i][4]:
+                holds[lesser[h]] = False
+            others = np.flatnonzero(holds)
+            total[i] += len(others)
+            total[others] += 1
+            if not each:
+                others = others[np.unique(label[others], return_index=True)[1]]
+                others = others[label[others] != label[i]]
+            for j in others.tolist():
+                if not each:
+                    label[label == label[j]] = label[i]
+                out.append((None, None, None, max(ids[i], ids[j]), min(ids[i], ids[j]), int(common[j])))
+            if len(out) > 100_000:
+                yield batch(out)
+                out = []
+        if not each:
+            out += [(r[1], r[2], c, None, None, None) for r, c in zip(kept, total.tolist(), strict=True) if c]
+        if out:
+            yield batch(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for b in batches:
+            for head, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (head, i, j) != now:
+                    if rows:
+                        yield from work(now, rows)
+                    now, rows = (head, i, j), []
+                rows.append(tuple(row))
+        if rows:
+            yield from work(now, rows)
 
+    return run
 
-def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per row doc_id, n_shingles, component_id; and the links that were compared and hold (a, b, common)."""
+
+def tiles(gathered: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of each tile, in order.  gathered: sig, n, head, distinct; docs: doc_id, text.
+
+    The members of a head are dealt into chunks of half a TILE; each pair of chunks is a tile, worked on by itself.
+    """
+    chunks = gathered.groupBy("head").agg(F.count("*").alias("m")).select("head", F.expr(f"cast((m - 1) div {TILE // 2} + 1 as int)").alias("chunks"))
+    chunks = chunks.where("chunks > 1")  # few: each stands for many members
+    dealt = gathered.join(chunks, "head", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    place = F.struct("head", "chunks", F.pmod(F.xxhash64("sig", "n"), F.col("chunks")).cast("int").alias("chunk"))
+    placed = dealt.groupBy("sig", "n").agg(F.collect_list(place).alias("at")).join(classes, ["sig", "n"])
+    # A checked number of places is sent to all tasks, which spares a shuffle of all texts; more are joined by shuffle.
+    few = F.broadcast(placed) if gathered.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else placed
+    met = docs.where("doc_id is not null").join(few, docs["doc_id"] == few["id"]).select("sig", "n", "id", "text", "at", F.explode("at").alias("x"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, x.chunks - 1)")))
+    lesser = F.expr("transform(filter(at, y -> y.head < x.head), y -> y.head)")
+    rows = met.select(
+        F.col("x.head").alias("head"), F.least("x.chunk", "other").alias("i"), F.greatest("x.chunk", "other").alias("j"),
+        F.col("x.chunk").alias("chunk"), "sig", "n", "id", lesser.alias("lesser"), "text",
+    )
+    return rows.repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "chunk", "sig", "n")
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row doc_id, n_shingles, component_id, n_links; and the texts of the tiles."""
     spark = docs.sparkSession
     base = pick(docs, "doc_id", "text")
     rows = materialize(base.mapInArrow(_sets, "doc_id long, n long, sig long, part int, counts binary"), "sets")
@@ -327,42 +316,37 @@ def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     buckets = max(64, shuffle_partitions(spark))
     index = base.where("doc_id is not null").select("text").mapInArrow(_index(order, buckets), "bucket long, postings binary")
-    lists = materialize(index.repartition(buckets, "bucket").mapInArrow(_lists, LISTS), "lists")
-
-    a, b = classes.select("sig", "n", F.col("id").alias("a")), classes.select(F.col("sig").alias("head"), F.col("n").alias("head_n"), F.col("id").alias("b"))
-    stars = lists.where("pair").select("sig", "n", "head", "head_n").distinct().join(a, ["sig", "n"]).join(b, ["head", "head_n"])
-    stars = materialize(stars.select("a", "b"), "stars")
-    members = lists.where("not pair").join(a, ["sig", "n"])
-    wanted = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).unionByName(members.select(F.col("a").alias("id"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    # A checked number of ids is sent to all tasks, which spares a shuffle of all texts; more of them are joined by shuffle.
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    pool = materialize(base.withColumnRenamed("doc_id", "id").join(few, "id"), "pool")
-    met = materialize(compare(stars.distinct(), pool), "met")
-    links = met.where(LINK).select("a", "b", "common").where("a <> b")
+    lists = index.repartition(buckets, "bucket").mapInArrow(_lists, "sig long, n long, head long")
+    gathered = materialize(lists.distinct(), "gathered")
+    tiled = tiles(gathered, classes, base)
+    found = materialize(tiled.mapInArrow(_answers(False), ANSWERS), "found")
     # An id with several texts ties their classes together.
     mine = signed.where("n > 0 and doc_id is not null").join(classes, ["sig", "n"]).groupBy("doc_id").agg(F.min("id").alias("lo"), F.collect_set("id").alias("ids"))
     twice = mine.where("size(ids) > 1").select(F.explode("ids").alias("a"), F.col("lo").alias("b")).where("a <> b")
-    edges = links.select("a", "b").unionByName(twice)
-    roots = connected_components(edges)
-
-    # Members of lists that more than one component is left in, gathered by head.
-    told = members.join(roots, F.col("a") == F.col("node"), "left").join(b, ["head", "head_n"])
-    told = materialize(told.select("s", F.col("a").alias("id"), F.col("b").alias("head_id"), "n", "rest", F.coalesce("root", "a").alias("comp")), "told")
-    open_ = told.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s")
-    left = told.join(open_, "s", "left_semi").repartition("s").sortWithinPartitions("s")
-    gathered = materialize(left.mapInArrow(_open_members, "head_id long, id long, comp long").distinct(), "gathered")
-    late = materialize(links_across(gathered, pool), "late")
-    if late.limit(1).count():
-        links = links.unionByName(late)
-        roots = connected_components(edges.unionByName(late.select("a", "b")))
-    named = classes.join(roots, F.col("id") == F.col("node"), "left").select("sig", "n", F.coalesce("root", "id").alias("component_id"))
+    roots = connected_components(found.where("a is not null").select("a", "b").unionByName(twice))
+    counts = found.where("links is not null").groupBy("sig", "n").agg(F.sum("links").alias("links"))
+    named = classes.join(roots, F.col("id") == F.col("node"), "left").join(counts, ["sig", "n"], "left")
+    named = named.select("sig", "n", F.coalesce("root", "id").alias("component_id"), "links")
     # Ids whose texts are in different classes have been tied, so any class of an id gives its component.
+    there = F.col("doc_id").isNotNull()
     out = signed.join(named, ["sig", "n"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
-    return out, links.distinct()
+        "doc_id", F.col("n").alias("n_shingles"), F.when(there, F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(there, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+    )
+    return out, tiled
+
+
+def jaccard_report(docs: DataFrame) -> DataFrame:
+    """Per row doc_id, n_shingles, component_id and n_links, the number of other distinct sets its set links with."""
+    return _linked(docs)[0]
+
+
+def jaccard_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row doc_id, n_shingles, component_id; and every link between distinct sets (a, b, common), by the least id
+    of each; a = b where two texts of one id link."""
+    out, tiled = _linked(docs)
+    return out.drop("n_links"), tiled.mapInArrow(_answers(True), ANSWERS).select("a", "b", "common")
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    return jaccard_components(docs)[0]
+    return _linked(docs)[0].drop("n_links")

@@ -40,9 +40,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fotolake.llm.op7_jaccard_join import jaccard_join
+    from fotolake.llm.op7_jaccard_join import jaccard_report
 
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_report(table(spark, sf_dir, "documents"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,28 @@ def test_links_are_exact_and_span(spark):
     assert [tuple(x) for x in links.collect()] == [(2, 1, 8)] or [tuple(x) for x in links.collect()] == [(1, 2, 8)]
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    """A group of near copies, under several heads, has all its links, in one tile and in many."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for k in range(45):
+        copy = base[:]
+        for _ in range(k % 4):
+            copy[r.randrange(len(copy))] = f"c{r.randrange(10_000)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(50, rows[1][1]), (51, rows[1][1]), (1, rows[2][1]), (None, rows[3][1]), (60, "x y"), (61, None)]
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(196)) if t and len(t) > 9 else frozenset() for _, t in rows]
+    linked = {x: {y for i, y in zip(rows, sets, strict=True) if i[0] is not None and x and y and x != y and 7 * len(x & y) >= 3 * (len(x) + len(y))} for x in sets}
+    want = sorted([(i, 0 if i is None else len(linked[x])) for (i, _), x in zip(rows, sets, strict=True)], key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (6000, 8):
+        monkeypatch.setattr(j, "TILE", tile)
+        assert sorted(((x.doc_id, x.n_links) for x in j.jaccard_report(docs).collect()), key=str) == want
+    pairs = j.jaccard_components(docs)[1].collect()
+    assert len(pairs) == sum(len(linked[x]) for x in set(sets)) // 2 > 200
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 80), (7, 7), (None, 3), (200, 201)]
     got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
