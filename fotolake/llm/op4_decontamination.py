@@ -137,18 +137,17 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, window: int =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, in_plan: int = IN_PLAN) -> DataFrame:
     """docs without its contaminated documents, or (mode "spans") without the words that were hit.
 
-    Documents are matched by doc_id: where an id repeats, all its rows go if one is contaminated (in mode
-    "spans", rows are told apart by their text).  Rows with a null id are matched by their text.
+    Rows are told apart by a hash of their text, for equal texts have equal hits: rows with a null or a repeated
+    id are judged each on its own.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
     text = F.coalesce(F.col("text"), F.lit(""))
-    bad = report(docs, benchmark, window, in_plan).where("n_hit > 0")
+    keyed = docs.select(F.sha2(text, 256).alias("doc_id"), F.col("text"))
+    bad = report(keyed, benchmark, window, in_plan).where("n_hit > 0").select(F.col("doc_id").alias("_bad"), "hits")
     if mode == "documents":
-        return docs.join(bad.select(F.col("doc_id").alias("_bad")).distinct(), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
-    # Texts that were hit, by a hash of the text: equal texts have equal hits.
-    keyed = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.sha2(text, 256).alias("_key"))
-    cut = bad.join(keyed, "row").groupBy("_key").agg(F.first("hits").alias("_hits"))
+        return docs.join(bad.select("_bad").distinct(), F.sha2(text, 256) == F.col("_bad"), "left_anti")
+    cut = bad.groupBy(F.col("_bad").alias("_key")).agg(F.first("hits").alias("_hits"))
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     split = docs.withColumn("_key", F.sha2(text, 256)).join(cut, "_key", "left").withColumn("_w", F.regexp_extract_all(text, F.lit(word), F.lit(0))).withColumn("_g", F.split(text, word))
     places = F.array_distinct(F.flatten(F.transform("_hits", lambda x: F.sequence(x["at"], x["end"] - 1))))

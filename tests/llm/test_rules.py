@@ -107,3 +107,10 @@ def test_removal(spark):
     spans = d.decontaminate(docs, bench, "spans")
     assert spans.columns == docs.columns
     assert {r.doc_id: r.text for r in spans.collect()} == {1: "A. B", 2: "clean", 3: None, None: "x"}
+
+
+def test_removal_tells_rows_apart_by_text(spark):
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "x one two three"), (None, "clean"), (None, None), (7, "one two three"), (7, "clean too")], "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in d.decontaminate(docs, bench).collect()]
+    assert sorted(got, key=str) == sorted([(None, "clean"), (None, None), (7, "clean too")], key=str)
