@@ -247,26 +247,57 @@ def train(docs: DataFrame) -> Trees:
 
 
 def redact(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs with each selected span replaced by its kind in brackets, without a shuffle.
+    """docs with the spans that the report selects replaced by their kind in brackets, without a shuffle.
 
-    Generators run one after another, base patterns first, each over what the one before left.
+    All spans are found in the original text.  Overlapping ones are replaced as one, named by the longest of them.
     """
-    text = "_text"
-    df = docs.withColumn(text, F.col("text"))
-    for name, kind, base, needs, pattern in GENERATORS:
-        m, g = _met(F.col(text), needs, pattern)
-        zipped = F.arrays_zip(F.col("_m").alias("m"), F.slice("_g", F.lit(1), F.size("_m")).alias("g"), F.slice("_g", F.lit(2), F.size("_m")).alias("n"))
-        df = df.withColumn("_m", m).withColumn("_g", g)
-        parts = F.transform(zipped, _replacement(name, kind, base, model))
-        new = F.concat(F.array_join(parts, ""), F.element_at("_g", -1))
-        df = df.withColumn(text, F.when(F.size("_m") > 0, new).otherwise(F.col(text))).drop("_m", "_g")
-    return df.withColumn("text", F.col(text)).select(*docs.columns)
-
-
-def _replacement(name: str, kind: str, base: bool, model: Trees):
-    def of(x: Column) -> Column:
-        mask = features(x["m"], F.right(x["g"], F.lit(16)), F.left(x["n"], F.lit(2)))
-        gone = passes(name, x["m"]) if base else model.accepts(kind, mask)
-        return F.concat(x["g"], F.when(gone, F.lit(f"[{kind.upper()}]")).otherwise(x["m"]))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    df = docs
+    for name, _, _, needs, pattern in GENERATORS:
+        m, g = _met(text, needs, pattern)
+        df = df.withColumn(f"_m_{name}", m).withColumn(f"_g_{name}", g)
+    found = {name: _selected_in_row(name, kind, base, model) for name, kind, base, *_ in GENERATORS}
+    df = df.withColumn("_base", F.concat(*[found[n] for n in found if BASE[n]]))
+    clear = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"]))
+    df = df.withColumn("_spans", F.array_sort(F.concat("_base", *[F.filter(found[n], clear) for n in found if not BASE[n]])))
+    df = df.withColumn("_spans", F.aggregate("_spans", F.array().cast(f"array<{SPAN}>"), _merged))
+    parts = F.aggregate(
+        "_spans",
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
+        lambda acc, x: F.struct(
+            x["stop"].alias("at"),
+            F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("parts"),
+        ),
+        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+    return df.withColumn("text", F.when(F.size("_spans") > 0, parts).otherwise(F.col("text"))).select(*docs.columns)
 
-    return of
+
+SPAN = "struct<start:int,stop:int,long:int,kind:string>"
+
+
+def _selected_in_row(name: str, kind: str, base: bool, model: Trees) -> Column:
+    """The spans of a generator that are selected by themselves, of a row with its matches."""
+    m, g = F.col(f"_m_{name}"), F.col(f"_g_{name}")
+    zipped = F.arrays_zip(m.alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("g"), F.slice(g, F.lit(2), F.size(m)).alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["g"])
+        stop = start + F.length(x["m"])
+        gone = passes(name, x["m"]) if base else model.accepts(kind, features(x["m"], F.right(x["g"], F.lit(16)), F.left(x["n"], F.lit(2))))
+        span = F.struct(start.alias("start"), stop.alias("stop"), F.length(x["m"]).alias("long"), F.lit(kind).alias("kind"))
+        return F.struct(stop.alias("at"), F.when(gone, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
+    return F.aggregate(zipped, first, step, lambda acc: acc["spans"])
+
+
+def _merged(acc: Column, x: Column) -> Column:
+    """The spans so far and the next: one that begins within the last is joined to it."""
+    last = F.get(acc, F.size(acc) - 1)
+    both = F.struct(
+        last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"), F.greatest(last["long"], x["long"]).alias("long"),
+        F.when(x["long"] > last["long"], x["kind"]).otherwise(last["kind"]).alias("kind"),
+    )
+    meets = F.coalesce(x["start"] < last["stop"], F.lit(False))
+    return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(acc, F.array(x)))

@@ -79,3 +79,14 @@ def test_redaction_leaves_no_base_span(spark):
             assert r.text == before
         else:
             assert sum(brute(r.text)[:3]) == 0 and "[" in r.text
+
+
+def test_redaction_replaces_overlapping_spans_whole(spark):
+    texts = ["🙂 tel +33.1.23.45.67.89 now", "x@a.4111-1111-1111-1111 1111 y", None, "1.2.3.4.5.6.7.8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in p.redact(docs, p.Trees({}, {})).collect()}
+    assert got[0] == "🙂 tel [PHONE] now" and got[2] is None and got[3] == "[IP].[IP]"
+    line = brute(texts[1])[-1].split(",")
+    spans = [tuple(map(int, x.split(":")[1:])) for x in line]
+    left = "".join(c if not any(a <= i < b for a, b in spans) else "\0" for i, c in enumerate(texts[1]))
+    assert re.sub(r"\[[A-Z]+\]", "\0", got[1]) == re.sub("\0+", "\0", left)
