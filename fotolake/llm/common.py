@@ -6,10 +6,23 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
+_CACHES: dict[str, dict] = {}
+
+
+def own_caches(owner: str) -> dict:
+    """A Python worker's table for one owner.  Workers outlive stages, so asking for one drops all others."""
+    if owner not in _CACHES:
+        for other in _CACHES.values():
+            other.clear()
+        _CACHES.clear()
+        _CACHES[owner] = {}
+        pa.default_memory_pool().release_unused()
+    return _CACHES[owner]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

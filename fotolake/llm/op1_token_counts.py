@@ -2,7 +2,7 @@
 
 Offline, on the driver, ``whole_strings`` finds which strings of the vocabulary encode alone as one token, and
 ``prove`` for which characters Python's own pattern splits as the tokenizer's does.  Executors then count
-pre-tokens that are such strings directly, and merge only the rest (each distinct one once).
+pre-tokens that are such strings directly, and merge only the rest (distinct ones, many at once).
 A text that holds another character, or the string of an added token, goes through the library whole.
 
 Defined cases: a null text counts as empty (0 bytes, 0 tokens); null ids are kept; repeated rows give
@@ -14,24 +14,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from fotolake.llm.common import pick
-from fotolake.llm.tokens import SPLITS, Proof, library, prove, read_vocabulary, safe_blocks
+from fotolake.llm.tokens import SPLITS, Proof, encoder, library, prove, read_vocabulary
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 LIMIT = 512
 _WHOLE: dict[str, frozenset[str]] = {}
-_COUNTERS: dict[str, Counter] = {}
 
 
 def whole_strings(proof: Proof) -> frozenset[str]:
     """Strings of the vocabulary that alone are one pre-token and one token."""
-    vocabulary, kind, _ = proof
+    vocabulary, kind, *_ = proof
     key = hashlib.md5(vocabulary.encode()).hexdigest()
     if kind == "other":
         return frozenset()
@@ -47,69 +46,16 @@ def whole_strings(proof: Proof) -> frozenset[str]:
     return _WHOLE[key]
 
 
-class Counter:
-    """Counts tokens of texts; ``limit``: merged pre-tokens kept."""
-
-    def __init__(self, proof: Proof, whole: frozenset[str], limit: int = 500_000):
-        vocabulary, self.kind, odd = proof
-        self.tok, self.whole, self.limit = library(vocabulary), whole, limit
-        self.added = [a["content"] for a in json.loads(vocabulary).get("added_tokens", [])]
-        self.odd, self.split = re.compile(odd), SPLITS.get(self.kind, SPLITS["bytes"])
-        self.merged: dict[str, int] = {}
-
-    def count(self, texts: list[str | None]) -> list[int]:
-        out, waiting, new = [0] * len(texts), [], set()
-        size = 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self.odd.search(text) or any(a in text for a in self.added):
-                out[i] = len(self.tok.encode(text, add_special_tokens=False).ids)
-                continue
-            for block in safe_blocks(text.lower() if self.kind == "words" else text):
-                pieces = self.split.findall(block)
-                rest = [p for p in pieces if p not in self.whole]
-                out[i] += len(pieces) - len(rest)
-                if rest:
-                    waiting.append((i, rest))
-                    new |= set(rest).difference(self.merged)
-                    size += len(rest)
-                if size > 200_000:
-                    self._merge(waiting, new, out)
-                    waiting, new, size = [], set(), 0
-        self._merge(waiting, new, out)
-        return out
-
-    def _merge(self, waiting: list[tuple[int, list[str]]], new: set[str], out: list[int]) -> None:
-        if len(self.merged) + len(new) > self.limit:
-            self.merged.clear()
-            new = {p for _, rest in waiting for p in rest}
-        ask = list(new)
-        for p, e in zip(ask, self.tok.encode_batch_fast(ask, add_special_tokens=False) if ask else [], strict=True):
-            self.merged[p] = len(e.ids)
-        for i, rest in waiting:
-            out[i] += sum(map(self.merged.__getitem__, rest))
-
-
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether there are more than ``limit`` tokens, for every row of docs."""
     proof = prove(read_vocabulary(vocabulary_path))
     sent = docs.sparkSession.sparkContext.broadcast((proof, whole_strings(proof)))  # as large as the vocabulary file
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, strings = sent.value
-        key = hashlib.md5(known[0].encode()).hexdigest()
-        if key not in _COUNTERS:
-            _COUNTERS[key] = Counter(known, strings)
+        count = encoder(*sent.value).count
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                n = _COUNTERS[key].count(texts)
-                sizes = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])],
-                    ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-                )
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            n = pa.array(count(t.as_py() for t in b.column(1)), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), sizes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return pick(docs, "doc_id", "text").mapInArrow(work, SCHEMA)

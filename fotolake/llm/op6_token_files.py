@@ -1,24 +1,28 @@
 """Token-id files: a wavelet matrix for each shard.
 
 A shard file is one compressed image: header, documents' ids and lengths, then one bit plane for each bit
-of a token id (most significant first).  In each plane the tokens stand in the order that the planes
-above gave them (zeros first, stably).  With one count for each 512 bits the file answers rank and
-select, hence access(i), count(token) and locate(token), without decoding the rest.
+of a token id (most significant first), then for each plane the number of ones in every 512 bits.  In each plane the
+tokens stand in the order that the planes above gave them (zeros first, stably).  Planes and counts are packed one by one
+and answer rank and select, hence access(i), count(token) and locate(token); tokens are not decoded for
+it, and a search ends at the first plane that rules its token out.
 
 Shards are written through Spark as rows of a binary table, so that any store Spark writes to will do and its
 commit protocol drops what lost or repeated tasks wrote; ``export`` puts images into plain files.
-Documents are in ascending doc_id order over the shards (range partitions, sorted within).
+Documents are in ascending doc_id order over the shards (range partitions, sorted within); rows of one id, or without one,
+are ordered by a hash of their text, so that many of them fill many partitions.
 
 Defined cases: a null text is empty and still has its end id; null ids come first; repeated rows are
-written each (ties in text order); no documents give no shards; extra columns are ignored.
+written each; very long texts are encoded in blocks and make a shard of their own size; no documents
+give no shards; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +35,20 @@ from fotolake.llm.common import pick, scratch_root, shuffle_partitions
 from fotolake.llm.tokens import encoder, prove, read_vocabulary
 
 END_ID, SHARD_TOKENS = 2, 1 << 20
-MAGIC = b"WMTX0001"
+MAGIC = b"WMTX0002"
 WORD = 512  # bits between two stored counts
 FILES = "part int, seq int, first long, n_tokens long, n_docs long, image binary"
 
 
 class WaveletMatrix:
-    """Tokens as bit planes with counts of ones before each block of WORD bits."""
+    """Tokens as bit planes with counts of ones before each block of WORD bits.
 
-    def __init__(self, n: int, bits: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.bits, self.planes, self.zeros = n, bits, planes, zeros
-        self._ranks: dict[int, np.ndarray] = {}
+    ``plane`` and ``counts`` give those of one level; a matrix read from a file unpacks them when they are asked for.
+    """
+
+    def __init__(self, n: int, bits: int, zeros: list[int], plane: Callable[[int], np.ndarray], counts: Callable[[int], np.ndarray]):
+        self.n, self.bits, self.zeros = n, bits, zeros
+        self.plane, self.counts = functools.cache(plane), functools.cache(counts)
 
     @classmethod
     def build(cls, tokens: np.ndarray, bits: int | None = None) -> WaveletMatrix:
@@ -52,39 +59,32 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             ones = now & kind(1 << b) != 0
             planes.append(np.packbits(ones))
-            low = now[~ones]
+            low, high = np.compress(~ones, now), np.compress(ones, now)
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
-        return cls(len(now), bits, planes, zeros)
+            now = np.concatenate([low, high])
+        n = len(now)
+        return cls(n, bits, zeros, planes.__getitem__, lambda k: _ones_before(planes[k], n))
 
     def tokens(self) -> np.ndarray:
         """All tokens in order, plane by plane from the last to the first."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         value = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self.planes[k], count=self.n).view(bool)
+            ones = np.unpackbits(self.plane(k), count=self.n).view(bool)
             out = np.empty(self.n, kind)
-            out[~ones] = value[: self.zeros[k]]
-            out[ones] = value[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            out[np.flatnonzero(~ones)] = value[: self.zeros[k]]
+            out[np.flatnonzero(ones)] = value[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             value = out
         return value.astype(np.uint32)
 
-    def _counts(self, k: int) -> np.ndarray:
-        if k not in self._ranks:
-            bytes_ = np.zeros(-(-max(self.n, 1) // WORD) * (WORD // 8), np.uint8)
-            bytes_[: len(self.planes[k])] = self.planes[k]
-            per = np.bitwise_count(bytes_).reshape(-1, WORD // 8).sum(axis=1, dtype=np.int64)
-            self._ranks[k] = np.concatenate([[0], np.cumsum(per)])
-        return self._ranks[k]
-
     def _ones(self, k: int, i: int) -> int:
         """Ones in plane k before place i."""
         block, rest = divmod(i, WORD)
         at = block * (WORD // 8)
-        return int(self._counts(k)[block]) + int(np.unpackbits(self.planes[k][at : at + -(-rest // 8)])[:rest].sum())
+        return int(self.counts(k)[block]) + int(np.unpackbits(self.plane(k)[at : at + -(-rest // 8)])[:rest].sum())
 
     def _bit(self, k: int, i: int) -> int:
-        return int(self.planes[k][i >> 3]) >> (7 - (i & 7)) & 1
+        return int(self.plane(k)[i >> 3]) >> (7 - (i & 7)) & 1
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:
@@ -101,6 +101,8 @@ class WaveletMatrix:
         if token >> self.bits:
             return 0, 0
         for k in range(self.bits):
+            if lo == hi:  # no such token: deeper planes stay packed
+                break
             a, b = self._ones(k, lo), self._ones(k, hi)
             lo, hi = (self.zeros[k] + a, self.zeros[k] + b) if token >> (self.bits - 1 - k) & 1 else (lo - a, hi - b)
         return lo, hi
@@ -124,44 +126,55 @@ class WaveletMatrix:
         return i
 
     def _select_bit(self, k: int, bit: int, nth: int) -> int:
-        counts = self._counts(k)
+        counts = self.counts(k)
         have = counts if bit else np.minimum(np.arange(len(counts)) * WORD, self.n) - counts
         block = int(np.searchsorted(have, nth, side="right")) - 1
         at = block * (WORD // 8)
-        bits = np.unpackbits(self.planes[k][at : at + WORD // 8], count=min(WORD, self.n - block * WORD))
+        bits = np.unpackbits(self.plane(k)[at : at + WORD // 8], count=min(WORD, self.n - block * WORD))
         return block * WORD + int(np.flatnonzero(bits == bit)[nth - int(have[block])])
 
     def locate(self, token: int) -> list[int]:
         return [self.select(token, j) for j in range(self.count(token))]
 
 
+def _ones_before(plane: np.ndarray, n: int) -> np.ndarray:
+    """How many ones stand before each block of WORD bits, and in all."""
+    whole = np.zeros(-(-max(n, 1) // WORD) * (WORD // 8), np.uint8)
+    whole[: len(plane)] = plane
+    return np.concatenate([[0], np.cumsum(np.bitwise_count(whole).reshape(-1, WORD // 8).sum(axis=1, dtype=np.int64))])
+
+
 def write_image(ids: list[int | None], lengths: list[int], tokens: np.ndarray) -> bytes:
     wm = WaveletMatrix.build(tokens)
     small = zstandard.ZstdCompressor(level=1).compress
     parts = [
-        small(np.array([x or 0 for x in ids], "<i8").tobytes()),
-        small(np.packbits([x is not None for x in ids]).tobytes()),
-        small(np.array(lengths, "<i8").tobytes()),
-        *[small(p.tobytes()) for p in wm.planes],
-    ]
+        np.array([x or 0 for x in ids], "<i8"), np.packbits([x is not None for x in ids]), np.array(lengths, "<i8"),
+        *[wm.plane(k) for k in range(wm.bits)],
+        *[np.diff(wm.counts(k)).astype("<u2") for k in range(wm.bits)],
+    ]
+    parts = [small(x.tobytes()) for x in parts]
     head = json.dumps({"n": wm.n, "docs": len(ids), "bits": wm.bits, "zeros": wm.zeros, "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(parts)
 
 
 def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """Ids, lengths and the matrix; planes and counts are unpacked one by one, when they are first asked for."""
     if image[:8] != MAGIC:
         raise ValueError("not a wavelet matrix file")
     (n,) = struct.unpack_from("<I", image, 8)
     head = json.loads(image[12 : 12 + n])
-    at, parts = 12 + n, []
-    large = zstandard.ZstdDecompressor().decompress
-    for s in head["sizes"]:
-        parts.append(large(image[at : at + s]))
-        at += s
-    there = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=head["docs"])
-    ids = [int(x) if ok else None for x, ok in zip(np.frombuffer(parts[0], "<i8"), there, strict=True)]
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3:]]
-    return ids, np.frombuffer(parts[2], "<i8"), WaveletMatrix(head["n"], head["bits"], planes, head["zeros"])
+    stop = np.cumsum(head["sizes"]) + 12 + n
+
+    def part(i: int, kind: str) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(image[int(stop[i]) - head["sizes"][i] : int(stop[i])]), kind)
+
+    there = np.unpackbits(part(1, "u1"), count=head["docs"])
+    ids = [int(x) if ok else None for x, ok in zip(part(0, "<i8"), there, strict=True)]
+    wm = WaveletMatrix(
+        head["n"], head["bits"], head["zeros"], lambda k: part(3 + k, "u1"),
+        lambda k: np.concatenate([[0], np.cumsum(part(3 + head["bits"] + k, "<u2"), dtype=np.int64)]),
+    )
+    return ids, part(2, "<i8"), wm
 
 
 def write_token_files(docs: DataFrame, vocabulary_path: str, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -196,7 +209,9 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, path: str, end_id:
         if ids:
             yield shard()
 
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    base = pick(docs, "doc_id", "text")
+    ordered = base.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "text")
     ordered.mapInArrow(work, FILES).write.parquet(path)
 
 

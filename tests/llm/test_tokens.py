@@ -12,17 +12,27 @@ from fotolake.llm.tokens import Encoder, prove, read_vocabulary
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+MORE = [
+    "it's's we'll'd 'tis ''s .'s \n's don'ta 1's2", "a\nb\n\nc\n\n\nd\n\n", "\n", "\n\n", " ", " a ", "a \nb", "a\n b", "x\0y\0", "\0", "a_b__c _ __ 1_2", "x" * 40 + " " + "é" * 40 + "!" * 50, "naïve Straße œuvre año ÀÉÎ ß",
+    "ab 12ab34 5.6,7;8 ...a", "'", "''", "'s", " 's", "a' s", "'re've'm 'LL 'Ll",
+]
+
+
 def _small(spark):
     return spark.read.parquet(f"{SMALL}/documents.parquet")
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
-@pytest.mark.parametrize("limit", [500_000, 5])
-def test_pretokens_give_the_librarys_ids(spark, path, limit):
-    texts = ODD + [r.text for r in _small(spark).collect()][: 60 if limit > 5 else 5]
+@pytest.mark.parametrize("bits", [20, 3])
+def test_pretokens_give_the_librarys_ids(spark, path, bits):
+    texts = ODD + MORE + [r.text for r in _small(spark).collect()][: 60 if bits > 5 else 5]
     tok = Tokenizer.from_file(path)
-    enc = Encoder(prove(read_vocabulary(path)), limit)
-    assert enc.kind != "other"
+    enc = Encoder(prove(read_vocabulary(path)), bits)
+    if bits == 3:
+        enc.POOL = enc.SPARE = 50
+        enc._forget()
+    assert enc.kind != "other" and enc.merger is not None
+    assert list(enc.count(texts)) == [len(tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
     for t, got in zip(texts, enc.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
 
@@ -108,10 +118,24 @@ def test_wavelet_matrix():
         assert wm.count(60000) == 0
 
 
+def test_planes_are_unpacked_one_by_one(monkeypatch):
+    x = np.arange(3000, dtype=np.uint32) % 700 + 1024
+    image = op6_token_files.write_image([1], [3000], x)
+    unpacked = []
+    real = op6_token_files.zstandard.ZstdDecompressor
+    monkeypatch.setattr(op6_token_files.zstandard, "ZstdDecompressor", lambda: unpacked.append(1) or real())
+    _, _, wm = op6_token_files.read_image(image)
+    assert len(unpacked) == 3  # ids, their nulls, lengths
+    assert wm.count(1) == 0 and len(unpacked) == 5  # the first plane and its counts rule the token out
+    assert wm.count(1029) == 5 and len(unpacked) == 3 + 2 * wm.bits
+    assert wm.locate(1029) == [5, 705, 1405, 2105, 2805] and len(unpacked) == 3 + 2 * wm.bits
+
+
 def test_token_files(spark, odd, tmp_path):
     tok = Tokenizer.from_file(BYTES)
     for k, docs in enumerate((odd, _small(spark))):
-        rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "", r.doc_id) for r in docs.collect()), key=lambda r: (r[:3], r[3].encode()))
+        rows = docs.selectExpr("*", "xxhash64(text) h").collect()
+        rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.text or "", r.doc_id) for r in rows), key=lambda r: r[:3])
         want, at = [], 0
         for *_, text, doc in rows:
             ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
