@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 from fotolake.llm.common import own_caches
+from fotolake.llm.hashes import part_hashes
 
 #: Characters that some Unicode tables call white space and others don't; no cut is made beside them.
 _ODD = "\u180e\u200b\ufeff"
@@ -277,7 +278,6 @@ class Encoder:
     of some ids, which is emptied when full.  Strings of ``whole`` are one id alone and are never merged for a count.
     """
 
-    FACTOR = 0x2545F4914F6CDD1D
     POOL, SPARE = 6_000_000, 1 << 20
 
     def __init__(self, proof: Proof, bits: int = 20, whole: frozenset[str] | None = None):
@@ -288,7 +288,6 @@ class Encoder:
         self.merger = Merger(spec) if merges else None
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
         self.find = SPLITS.get(self.kind, SPLITS["bytes"]).finditer
-        self.powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
         self.bits = bits
         self._forget()
         self.whole = None
@@ -304,25 +303,11 @@ class Encoder:
         self.pool = np.empty(self.POOL + self.SPARE, np.uint32)
         self.used = 0
 
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Powers of FACTOR and of its inverse modulo 2 ** 64."""
-        if len(self.powers[0]) < n:
-            size = 1 << (n - 1).bit_length()
-            back = pow(self.FACTOR, -1, 1 << 64)
-            self.powers = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(f), np.uint64)], dtype=np.uint64) for f in (self.FACTOR, back))
-        return self.powers
-
-    def _hash(self, b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """A hash of each part of the bytes b: a polynomial, by differences of one running sum."""
-        up, back = self._powers(len(b) + 1)
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
-        return (total[stop] - total[start]) * back[start]
-
     def _hash_strings(self, strings: list[str]) -> np.ndarray:
         parts = [x.encode() for x in strings]
         stop = np.cumsum([len(x) for x in parts])
-        return self._hash(np.frombuffer(b"".join(parts), np.uint8), np.r_[0, stop[:-1]], stop)
+        raw = b"".join(parts)
+        return part_hashes(raw, np.frombuffer(raw, np.uint8), np.r_[0, stop[:-1]], stop)
 
     def ask(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -383,13 +368,14 @@ class Encoder:
         start = np.flatnonzero(first)
         real = kind[start] < (_SPACE if self.kind == "words" else _END)
         stop = np.r_[start[1:], len(point)]
-        b = np.frombuffer(joined.encode(), np.uint8)
+        raw = joined.encode()
+        b = np.frombuffer(raw, np.uint8)
         if len(b) > len(point):
             place = np.zeros(len(point) + 1, np.int64)
             np.cumsum(1 + (point >= 0x80) + (point >= 0x800), out=place[1:])
             start, stop, begin = place[start], place[stop], place[begin]
         start, stop = start[real], stop[real]
-        at, n = self._known(b, start, stop, ids)
+        at, n = self._known(raw, b, start, stop, ids)
         cut = np.searchsorted(start, np.r_[begin, len(b)])
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
@@ -421,11 +407,11 @@ class Encoder:
                     first[[at + m.start() for m in self.find(block)]] = True
         return first
 
-    def _known(self, b: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _known(self, raw: bytes, b: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: bool) -> tuple[np.ndarray, np.ndarray]:
         """Of each pre-token where its ids begin in the pool, and how many there are."""
         if self.used > self.POOL:
             self._forget()
-        h = self._hash(b, start, stop)
+        h = part_hashes(raw, b, start, stop)
         at, n = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         rest = np.arange(len(h))
         for table in (self.whole, self.table) if self.whole and not ids else (self.table,):
@@ -435,7 +421,6 @@ class Encoder:
             rest = rest[~hit]
         if len(rest):
             new, own, back = np.unique(h[rest], return_index=True, return_inverse=True)
-            raw = b.tobytes()
             pieces = [raw[a:z] for a, z in zip(start[rest[own]].tolist(), stop[rest[own]].tolist(), strict=True)]
             flat, k = self._merged(pieces)
             if self.used + len(flat) > len(self.pool):
