@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import json
+import re
 import tempfile
 import uuid
 
@@ -67,6 +69,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows made on the driver, as a plan without any Python worker.  schema: as in "a string, b array<int>"."""
+    kinds = ",".join(x.strip().replace(" ", ":", 1) for x in re.split(r",\s*(?![^<]*>)", schema))
+    return spark.sql(f"SELECT inline(from_json(:rows, 'array<struct<{kinds}>>'))", args={"rows": json.dumps(rows)})
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, removed when the driver exits."""
+    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as a table in the shared scratch folder and read it back: lineage ends there.
 
@@ -74,9 +89,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     does not compute it twice.  The folder is removed when the driver exits.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,12 +1,14 @@
 """Sharding by fixed virtual slots, with DataFrame functions only.
 
-A record's virtual slot is a hash of its id and never changes.  Bytes are summed up for each of
-``n_slots`` virtual slots, and a versioned table says which shard has which virtual slot.  Version 0
-deals slots in turn; each rebalancing edits the table and adds a version, so a reader can name
-the version it wants.  The law is ``bytes``: sizes are near equal.
-
-Defined cases: a null text has size 1 and the crc of no bytes; a null id hashes like any value; repeated rows
-are kept, each with a place of its own; no documents give no rows; extra columns are ignored.
+A record's virtual slot is a hash of its id and its text's checksum and never changes.  Bytes are summed up for each of
+``n_slots`` virtual slots, and a versioned table, stored beside the shards, says which shard has which virtual slot.
+Version 0 deals slots in turn.  Each rebalancing starts from the latest stored version, moves only slots that must
+move, and appends a version; older ones stay, so a reader can name the version it wants.  The law is ``bytes``: sizes are near equal.
+
+Defined cases: a null text has size 1 and the crc of no bytes; rows with a null id, or of one id, are told apart by
+their text's checksum; very long texts count with their size, and no shard is nearer to the mean than the largest
+slot allows; repeated rows are kept, each with a place of its own; no documents give no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,19 +19,15 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import materialize, pick
+from fotolake.llm.common import materialize, pick, scratch_path
 
 N_SLOTS, N_SHARDS = 8192, 8
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return pick(docs, "doc_id", "text").select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_slots)).cast("int").alias("vslot"),
-    )
+    rows = pick(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
+    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
 
 
 def slot_stats(rows: DataFrame) -> DataFrame:
@@ -87,27 +85,49 @@ def rebalance(shard_of: list[int], weight: dict[int, int], n_shards: int) -> lis
     return new
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
+def map_table(spark: SparkSession, versions: list[list[int]], first: int = 0) -> DataFrame:
     """version, vslot, shard: what a writer stores beside the shards.  n_slots rows for each version."""
-    parts = [f"SELECT {v} AS version, pos AS vslot, col AS shard FROM (SELECT posexplode(from_json('{json.dumps(m)}', 'array<int>')))" for v, m in enumerate(versions)]
+    parts = [f"SELECT {v} AS version, pos AS vslot, col AS shard FROM (SELECT posexplode(from_json('{json.dumps(m)}', 'array<int>')))" for v, m in enumerate(versions, first)]
     return spark.sql(" UNION ALL ".join(parts))
 
 
+def stored_versions(spark: SparkSession, map_path: str) -> DataFrame | None:
+    """All versions of the map that are stored at map_path; None where nothing is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(map_path)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema("version int, vslot int, shard int").parquet(map_path) if there else None
+
+
+def next_version(spark: SparkSession, weight: dict[int, int], n_shards: int, n_slots: int, map_path: str) -> tuple[int, list[int]]:
+    """The latest stored map edited for these weights, and its number; stored, if it differs from the one before."""
+    known = stored_versions(spark, map_path)
+    last = known.agg(F.max("version")).first()[0] if known is not None else None
+    if last is None:
+        last, old = 0, first_map(n_slots, n_shards)
+        map_table(spark, [old]).write.parquet(map_path)
+    else:
+        shard_of = {r.vslot: r["shard"] for r in known.where(F.col("version") == last).collect()}  # n_slots rows
+        if len(shard_of) != n_slots:
+            raise ValueError(f"the map at {map_path} has {len(shard_of)} slots, not {n_slots}")
+        old = [shard_of[k] for k in range(n_slots)]
+    new = rebalance(old, weight, n_shards)
+    if new == old:
+        return last, old
+    map_table(spark, [new], last + 1).write.mode("append").parquet(map_path)
+    return last + 1, new
+
+
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place within the shard), grown_shard; and vslot, version.
 
-    With map_path the versions of the slot-to-shard map are stored there.
+    The versions of the slot-to-shard map are kept at map_path; without one, in a scratch folder of the session.
     """
     spark = docs.sparkSession
     rows = materialize(records(docs, n_slots), "records")
     weight = {r.vslot: r.n_bytes for r in slot_stats(rows).collect()}  # n_slots rows at most
-    versions = [first_map(n_slots, n_shards)]
-    versions.append(rebalance(versions[0], weight, n_shards))
-    table = map_table(spark, versions)
-    if map_path:
-        table.write.mode("overwrite").parquet(map_path)
-    current = table.where(F.col("version") == len(versions) - 1)
-    counts = slot_stats(rows).join(F.broadcast(current), "vslot")
+    version, shard_of = next_version(spark, weight, n_shards, n_slots, map_path or scratch_path(spark, "shard-map"))
+    table = map_table(spark, [shard_of], version)
+    counts = slot_stats(rows).join(F.broadcast(table), "vslot")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("vslot", "shard", "version", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("base"))
     place = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import pick, scratch_root, shuffle_partitions
+from fotolake.llm.common import pick, scratch_path, shuffle_partitions
 from fotolake.llm.tokens import encoder, prove, read_vocabulary
 
 END_ID, SHARD_TOKENS = 2, 1 << 20
@@ -242,15 +242,7 @@ def read_token_files(docs_path: str, like: DataFrame) -> DataFrame:
 
 def token_files(docs: DataFrame, vocabulary_path: str, path: str | None = None) -> DataFrame:
     """Write the files and read them back.  Without a path they are scratch files."""
-    import atexit
-    import uuid
-
-    from fotolake.llm.common import _remove
-
-    spark = docs.sparkSession
-    if path is None:
-        path = f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, path)
+    path = path or scratch_path(docs.sparkSession, "token-files")
     write_token_files(docs, vocabulary_path, path)
     return read_token_files(path, docs)
 

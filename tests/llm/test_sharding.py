@@ -30,6 +30,24 @@ def test_growing_only_fills_the_new_shard():
     assert max(load) - min(load) < 0.01 * sum(load) / 9
 
 
-def test_versions_are_stored(spark, odd, tmp_path):
-    s.shard_documents(odd, map_path=str(tmp_path / "map")).count()
-    assert spark.read.parquet(str(tmp_path / "map")).groupBy("version").count().collect()[0]["count"] == s.N_SLOTS
+def test_versions_are_stored_and_edited(spark, odd, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
+    s.shard_documents(docs, map_path=path).count()
+    one = {(r.version, r.vslot): r["shard"] for r in s.stored_versions(spark, path).collect()}
+    last = max(v for v, _ in one)
+    again = s.shard_documents(docs, map_path=path)
+    assert {r.version for r in again.collect()} == {last}  # nothing to move: no new version
+    more = docs.unionByName(spark.createDataFrame([(9000 + i, "y" * 3000) for i in range(60)], "doc_id long, text string"))
+    shards = s.shard_documents(more, map_path=path).collect()
+    two = {(r.version, r.vslot): r["shard"] for r in s.stored_versions(spark, path).collect()}
+    assert {k: v for k, v in two.items() if k[0] <= last} == one and len(two) == (last + 2) * s.N_SLOTS
+    moved = sum(two[last + 1, k] != two[last, k] for k in range(s.N_SLOTS))
+    assert 0 < moved < 0.2 * s.N_SLOTS and {r.version for r in shards} == {last + 1}
+    sizes = [sum(r.size for r in shards if r["shard"] == k) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 3001
+
+
+def test_rows_without_ids_spread(spark):
+    docs = spark.range(2000).selectExpr("cast(null as long) as doc_id", "concat('t', id) as text", "1 as Shard", "id as vslot")
+    assert len({r["shard"] for r in s.shard_documents(docs).collect()}) == 8
