@@ -8,8 +8,9 @@ blocks of documents, and the blocks' totals are summed up, so that a length whic
 have is dealt over all tasks.
 
 Defined cases: a null text is empty and gives one piece of one id (the end id); documents longer than the
-capacity alone are cut; repeated rows are packed each on its own (equal pieces get ranks of their own);
-null ids are kept; no documents give no pieces; extra columns are ignored.
+capacity alone are cut, however long; repeated rows are packed each on its own (equal pieces get ranks of their own);
+null ids are kept, and pieces of one id fall into blocks by their ids' checksum; no documents give no pieces; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     planned = _table(spark, plan(histogram, capacity))
     blocks = max(64, 4 * shuffle_partitions(spark))
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("int"))
     place = Window.partitionBy("_block", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("_in", F.row_number().over(place).cast("long") - 1)
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
