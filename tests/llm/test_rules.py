@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -58,6 +59,47 @@ def test_cutoffs_reject_junk_and_spare_good_documents(spark):
     assert kept == set(range(2000))
 
 
+def test_cutoffs_by_stratum_against_brute_force(spark):
+    """Every number of the method anew, on a table with two languages, null languages, repeated rows and repeated ids."""
+    r = random.Random(4)
+    rows = []
+    for i in range(1600):
+        lang = (None, "en", "de", "xx")[min(3, i % 9)] if i % 9 < 3 else "en" if i % 2 else "de"
+        rows.append((i, " ".join(f"w{r.randrange(10**6)}{'%' if r.random() < (0.3 if i % 40 == 0 else 0.01) else ''}" for _ in range(40)) + ("!" * r.randrange(30)), lang))
+    rows += rows[:50] + [(5, "A B! C! D% " * 10, "en")]
+    rows += [(9000 + i, f"x{i} y " * 3, "xx") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 1600)] + [(7, 0), (None, 1), (8, None)], "doc_id long, quality int")
+    stats = q.text_stats(docs, "lang")
+    every = [x.asDict() for x in stats.collect()]
+    half = {x.doc_id: x.h for x in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 9), 2) = 1 as h").collect()}
+    shares = lambda x: {k: min(1000, x[a] * 1000 // max(1, x[b])) for k, (a, b) in q.RULES.items()}
+    good = {}
+    for x in every:
+        if x["doc_id"] < 1600 and x["doc_id"] != 7:
+            now = good.setdefault(x["doc_id"], (x["lang"], dict.fromkeys(q.RULES, 0)))
+            for k, v in shares(x).items():
+                now[1][k] = max(now[1][k], v)
+    n = {s: sum(half[i] for i, g in good.items() if g[0] == s) for s in {g[0] for g in good.values()}}
+    from math import comb
+
+    bound = lambda k, m, rate, risk: m > 0 and k < m * rate and sum(comb(m, j) * rate**j * (1 - rate) ** (m - j) for j in range(k + 1)) <= risk
+    tested = [s for s in n if bound(0, n[s], q.ALPHA, q.DELTA)]
+    want = {}
+    for s in tested:
+        train = [g[1] for i, g in good.items() if g[0] == s and not half[i]]
+        hold = [g[1] for i, g in good.items() if g[0] == s and half[i]]
+        for step in q.STEPS:
+            limits = {k: next((g for g in q.GRID if sum(x[k] > g for x in train) <= step * len(train)), 1000) for k in q.RULES}
+            if not bound(sum(any(x[k] > limits[k] for k in q.RULES) for x in hold), len(hold), q.ALPHA, q.DELTA / len(tested)):
+                break
+            want[s] = limits
+    assert len(want) >= 2 and q.cutoffs(stats, labels) == want
+    kept = sorted((x.doc_id, x.kept) for x in q.quality_rules(docs, labels).collect())
+    brute = [(x["doc_id"], not (x["n_words"] < 20 or 100 * x["n_repeat_words"] > 30 * x["n_words"] or any(v > want.get(x["lang"], {}).get(k, 1000) for k, v in shares(x).items()))) for x in every]
+    assert kept == sorted(brute)
+
+
 def brute_hits(docs, items, window=10):
     pat = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = {}
