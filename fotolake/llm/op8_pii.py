@@ -2,18 +2,22 @@
 
 High-recall generators propose spans, which may overlap: the four base patterns, addresses written out ("name at
 host dot org") and telephone numbers without a country code.  Base spans that pass their checks stay.  For the
-others, boosted trees score format and context; they are fitted on counts of feature patterns over the
-candidates of all texts (2 ** features patterns for each kind at most), with the base checks as labels: a
-candidate inside a checked span of its kind is positive, one that overlaps a checked span of another kind, fails its check
-or touches a letter or digit is negative, the rest is unlabelled.  A threshold for each kind is calibrated on
-candidates held out by their document, as the lowest score whose precision there has an exact lower bound
-of at least ``precision``; without enough evidence a kind adds nothing.
-
-Positions are code points.  Patterns run in time linear in the text: a run of characters is tried once, from its
-start or from the end of the match before.
-
-Defined cases: a null text is empty; texts without candidates have counts 0 and no spans; repeated rows are
-worked on each on its own; spans of one kind never overlap; extra columns are ignored (redact keeps them).
+others, boosted trees score format and context; they are fitted on counts of feature patterns (2 ** features for each
+kind at most).  No candidate of these two generators is labelled by its own pattern.  Positives are checked
+base spans written anew in the other format, where they stand: an e-mail address written out, a telephone number without
+its country code, each with the neighbours that the original has.  Negatives are the same formats made of ordinary
+words, or of a made-up number, between ordinary words of texts without any checked span; and candidates that
+overlap a checked span of another kind or touch a letter or digit.  Every second document (by hash) is held out to
+calibrate a threshold for each kind: scores are tested from the highest down as a fixed sequence, and the lowest stays
+up to which precision on the held-out candidates has an exact lower bound of at least ``precision``; without
+enough evidence a kind adds nothing.
+
+Positions are code points.  Patterns run in time and stack linear in the text or less: a run of characters is tried
+once, from its start or from the end of the match before, and repeated groups are possessive.
+
+Defined cases: a null text is empty; very long texts and matches are worked on like others; texts without candidates
+have counts 0 and no spans; repeated rows, and rows of one id or without one, are worked on each on its own; spans of
+one kind never overlap; no documents give no rows; extra columns are ignored, whatever their names (redact keeps them).
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.llm.common import materialize, pick
-from fotolake.llm.op9_quality_rules import upper_bound_holds
+from fotolake.llm.op9_quality_rules import least_trials, upper_bound_holds
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++"
 #: (name, kind, base?, what a text must contain, pattern)
 GENERATORS = (
-    ("email", "email", True, "@", _LOCAL + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
+    ("email", "email", True, "@", _LOCAL + r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ip", "ip", True, r"[0-9]\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"),
     ("card", "card", True, "[0-9]", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", "phone", True, r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
@@ -41,7 +45,7 @@ GENERATORS = (
 BASE = {g[0]: g[2] for g in GENERATORS}
 KIND = {g[0]: g[1] for g in GENERATORS}
 ROUNDS, RATE, PRECISION, RISK = 30, 0.3, 0.95, 0.01
-FEATURES = 12
+FEATURES = 14
 
 
 def features(m: Column, left: Column, right: Column) -> Column:
@@ -55,6 +59,7 @@ def features(m: Column, left: Column, right: Column) -> Column:
         left.rlike(r"[=#\"'$_/:]\s?$"),
         m.contains(" "), m.contains("-"), m.contains("."), m.contains("("),
         digits >= 10, m.rlike("[A-Za-z]"), left.rlike(r"[A-Za-z]$"),
+        m.rlike(r"^[A-Za-z]*[0-9._%+-]"), m.rlike(r"[0-9-]\x20?[(\[]?[Dd][Oo][Tt]|[)\]]"),
     )
     mask = F.lit(0)
     for i, t in enumerate(tests):
@@ -181,12 +186,13 @@ class Trees:
             model = cls._fit(cols[:, 0].astype(np.int64), cols[:, 2], cols[:, 3])
             marks = cls.score_masks(model, np.array([r[1] for r in held], dtype=np.int64))
             levels = sorted(set(marks.round(6)))
-            for limit in levels:  # tested from the lowest: a risk for each
+            for limit in reversed(levels):  # a fixed sequence: the first level that fails ends it
                 up = marks.round(6) >= limit
                 p = int(sum(r[3] for r, u in zip(held, up, strict=True) if u))
                 n = int(sum(r[4] for r, u in zip(held, up, strict=True) if u))
-                if p + n and upper_bound_holds(n, p + n, 1 - precision, risk / len(levels)):
+                if upper_bound_holds(n, p + n, 1 - precision, risk):
                     trees[kind], limits[kind] = model, float(limit) - 1e-6
+                elif p + n >= least_trials(1 - precision, risk):  # so few can't show anything yet
                     break
         return cls(trees, limits)
 
@@ -201,16 +207,56 @@ class Trees:
         return total >= F.lit(self.limits[kind])
 
 
-def fit(known: DataFrame) -> Trees:
-    """Trees from judged candidates.  Every fifth document (by hash) is held out for calibration."""
+ORDINARY = r"^(.*?[A-Za-z] )([A-Za-z]{2,})( [A-Za-z]{2,} )([A-Za-z]{2,})( [A-Za-z]{2,} )([A-Za-z]{2,})( [A-Za-z].)"
+
+
+def evidence(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, mask, made (true: personal): labelled views of formats, whatever their own patterns match in a text.
+
+    A text with checked addresses or numbers gives each of them in the other format; a text without gives its first
+    seven words in a row, if there are so many, as ordinary surroundings.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    df = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"), F.pmod(F.xxhash64("text"), F.lit(3)).alias("form"))
+    pattern = {g[0]: (g[3], g[4]) for g in GENERATORS}
+    parts = {}
+    for name in ("email", "phone"):
+        m, g = _met(F.col("text"), *pattern[name])
+        df = df.withColumn(f"m_{name}", m).withColumn(f"g_{name}", g)
+        m, g = F.col(f"m_{name}"), F.col(f"g_{name}")
+        parts[name] = F.arrays_zip(m.alias("m"), F.slice(g, F.lit(1), F.size(m)).alias("g"), F.slice(g, F.lit(2), F.size(m)).alias("n"))
+    form = F.col("form")
+    at = F.when(form == 0, " at ").when(form == 1, "(at)").otherwise(" [at] ")
+    dot = F.when(form == 0, " dot ").when(form == 1, "(dot)").otherwise(" [dot] ")
+
+    def view(kind: str, m: Column, left: Column, right: Column, made: bool) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), features(m, F.right(left, F.lit(16)), F.left(right, F.lit(2))).alias("mask"), F.lit(made).alias("made"))
+
+    def written_out(x: Column) -> Column:
+        name, host = F.substring_index(x["m"], "@", 1), F.substring_index(x["m"], "@", -1)
+        last = F.substring_index(host, ".", -1)
+        return view("email", F.concat(name, at, F.left(host, F.length(host) - F.length(last) - 1), dot, last), x["g"], x["n"], True)
+
+    national = r"^\+[0-9]{1,3}[\x20.-]?(\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})$"
+    numbers = F.filter(parts["phone"], lambda x: passes("phone", x["m"]) & x["m"].rlike(national))
+    known = F.concat(F.transform(parts["email"], written_out), F.transform(numbers, lambda x: view("phone", F.regexp_extract(x["m"], national, 1), x["g"], x["n"], True)))
+    plain = [F.regexp_extract(F.left("text", F.lit(1000)), ORDINARY, k) for k in range(1, 8)]
+    number = F.when(form == 0, "415-555-0100").when(form == 1, "(415) 555-0100").otherwise("415.555.0100")
+    email = F.concat(plain[1], at, plain[3], dot, plain[5])
+    ordinary = F.when(plain[1] != "", F.array(view("email", email, plain[0], plain[6], False), view("phone", number, plain[0], plain[6], False)))
+    rows = F.explode(F.when(F.size(known) > 0, known).otherwise(ordinary)).alias("x")
+    return df.select("doc_id", rows).select("doc_id", "x.*")
+
+
+def fit(known: DataFrame, docs: DataFrame) -> Trees:
+    """Trees from evidence and from judged candidates.  Every second document (by hash) is held out for calibration."""
     touches = F.col("mask").bitwiseAND(F.lit(1)) != 0
-    positive = F.col("inside") | F.col("base")
-    negative = ~positive & (F.col("clash") | touches | (F.col("gen").isin([n for n, b in BASE.items() if b]) & ~F.col("ok")))
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    wrong = known.where(~F.col("gen").isin([n for n, b in BASE.items() if b]) & ~F.col("inside") & (F.col("clash") | touches))
+    views = evidence(docs).unionByName(wrong.select("doc_id", "kind", "mask", F.lit(False).alias("made")))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     counts = (
-        known.where(F.col("gen").isNotNull() & (positive | negative))
-        .groupBy("kind", "mask", held.alias("held"))
-        .agg(F.sum(positive.cast("long")).alias("p"), F.sum(negative.cast("long")).alias("n"))
+        views.groupBy("kind", "mask", held.alias("held"))
+        .agg(F.sum(F.col("made").cast("long")).alias("p"), F.sum((~F.col("made")).cast("long")).alias("n"))
         .collect()  # at most 4 kinds x 2 ** FEATURES x 2 rows
     )
     return Trees.fit(sorted(tuple(r) for r in counts))
@@ -227,7 +273,7 @@ def selected(known: DataFrame, model: Trees) -> DataFrame:
 def pii_report(docs: DataFrame) -> DataFrame:
     """Counts, the digest of base spans and all spans, for every row of docs."""
     known = materialize(judged(candidates(docs)), "pii")
-    chosen = selected(known, fit(known))
+    chosen = selected(known, fit(known, docs))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.struct(order.alias("o"), "start", "stop", "base")
     rows = chosen.groupBy("row", "doc_id").agg(
@@ -243,7 +289,7 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Trees:
-    return fit(judged(candidates(docs)))
+    return fit(judged(candidates(docs)), docs)
 
 
 def redact(docs: DataFrame, model: Trees) -> DataFrame:

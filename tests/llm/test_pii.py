@@ -69,6 +69,30 @@ def test_trees_add_what_context_shows(spark):
     assert clean[5000] == "Call me, phone [PHONE] today" and clean[5001] == rows[-1][1] and clean[0] == "Call me, phone [PHONE] today"
 
 
+def test_written_out_addresses_are_learnt_from_rewritten_ones(spark):
+    word = lambda k: "".join(chr(97 + (k * 7 + j * 11) % 26) for j in range(6))
+    plain = lambda i: " ".join(word(i + j) for j in range(12))
+    rows = [(i, f"{plain(i)} {word(i)}.{i}@mail{i % 9}.example.com {plain(i)}") for i in range(600)]
+    rows += [(1000 + i, plain(i) + ".") for i in range(600)]
+    texts = {5000: f"{plain(1)} jo.7 at mail3.example dot com {plain(2)}", 5001: f"{plain(1)} look at this dot com {plain(2)}"}
+    texts = {k: v.replace("mail3.example", "mail3") for k, v in texts.items()}
+    got = {r.doc_id: r.spans for r in p.pii_report(spark.createDataFrame(rows + list(texts.items()), "doc_id long, text string")).collect()}
+    start = texts[5000].index("jo.7")
+    assert got[5000] == f"email:{start}:{start + len('jo.7 at mail3 dot com')}" and got[5001] == ""
+    assert all(got[i].count("email") == 1 for i in range(600)) and not any(got[1000 + i] for i in range(600))
+
+
+def test_long_matches_need_no_stack(spark):
+    m = 400_000
+    texts = ["a@" + "b." * (m // 2) + "b", "a@b" * (m // 3), "1 " * (m // 2), "1." * (m // 2), "+1" * (m // 2), "+1" + " (" * (m // 2), "a.b" * (m // 3) + " at x dot y", "555-555-" * (m // 8), "(at)" * (m // 4) + " dot "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in p.pii_report(docs).collect()}
+    assert len(got) == len(texts) and got[0].n_email == 1 and got[0].spans == f"email:0:{len(texts[0])}"
+    for i in (1, 2, 5, 8):  # the plain patterns take quadratic time on the others
+        assert got[i][1:6] == brute(texts[i])[:5], i
+    assert p.redact(docs, p.Trees({}, {})).where("doc_id = 0").first().text == "[EMAIL]"
+
+
 def test_redaction_leaves_no_base_span(spark):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS + ODD)], "doc_id long, text string, _x string")
     out = p.redact(docs, p.Trees({}, {}))
