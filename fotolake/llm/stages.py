@@ -18,12 +18,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents tied by links (0.75), and of rows with one id, the one with the least id stays.
 
-    Documents without words and rows without an id are in no group and stay.
+    Documents without words and rows without an id are in no group and stay.  Of several rows of the id that stays
+    the one with the least hash of all its columns stays.
     """
     from fotolake.llm.op7_jaccard_join import jaccard_join
 
     stay = jaccard_join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    met = docs.join(stay, docs["doc_id"] == F.col("_stay")).dropDuplicates(["_stay"]).select(*docs.columns)
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    every = F.struct(*flat.columns)
+    met = flat.join(stay, F.col(f"_c{docs.columns.index('doc_id')}") == F.col("_stay"))
+    met = met.groupBy("_stay").agg(F.min_by(every, F.xxhash64(*flat.columns)).alias("x")).select("x.*").toDF(*docs.columns)
     return met.unionByName(docs.where("doc_id is null"))
 
 
