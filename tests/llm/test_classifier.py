@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import xxhash
 from llm_samples import SMALL
 
 from fotolake.llm import op10_quality_classifier as c
@@ -26,9 +29,9 @@ def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in c.classify(docs, labels.where("doc_id % 2 = 1")).collect()}
     assert len(got) == docs.count()
     rows = labels.where("doc_id % 2 = 0").collect()  # never seen in training
-    # So small a table can't teach insults of other languages.
-    texts = {r.doc_id: r.text.lower() for r in docs.collect()}
-    toxic = [r.doc_id for r in rows if r.toxic and any(w.decode() in texts[r.doc_id] for w in c._EVERY)]
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    # So small a table has few toxic texts of other languages to learn from.
+    toxic = [r.doc_id for r in rows if r.toxic and lang[r.doc_id] == "en"]
     clean = [r.doc_id for r in rows if not r.toxic and r.quality]
     junk = [r.doc_id for r in rows if not r.toxic and not r.quality]
     share = lambda ids: sum(got[i].kept for i in ids) / len(ids)
@@ -49,3 +52,36 @@ def test_annotators_teach_other_languages(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.kept for r in c.classify(docs, labels).collect()}
     assert all(got[i] == (i % 10 != 0) for i in range(1000, 2000))
+
+
+def test_scores_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = docs.unionByName(docs.limit(3)).selectExpr("doc_id", "text", "1 as Kept", "2 as junk_score")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = c.fit(docs, labels)
+    assert np.count_nonzero(model.weights) > 3
+
+    def hashed(x):
+        return int(c.part_hashes(x, np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+
+    def brute(text):
+        raw = (text or "").encode()
+        place = lambda h: (h * 0x9E3779B97F4A7C15 % 2**64) >> (64 - c.BITS)
+        found = {xxhash.xxh64_intdigest(f) >> (64 - c.BITS) for f in c.describe(raw)[1]}
+        for w in set(re.findall(rb"[a-z0-9\x80-\xff]+", raw.lower())):
+            found.add(place(hashed(w)))
+            found |= {place(hashed(w[:k]) ^ 0xA5A5A5A5A5A5A5A5) for k in c.BEGINNINGS if len(w) > k}
+        return [1 / (1 + np.exp(-(sum(float(model.weights[k, f]) for f in found) + model.bias[k]))) for k in (0, 1)]
+
+    got = sorted(c.classify(docs, labels).collect(), key=str)
+    want = sorted(docs.collect(), key=lambda r: r.doc_id)
+    for a, b in zip(sorted(got, key=lambda r: r.doc_id), want, strict=True):
+        junk, toxic = brute(b.text)
+        assert abs(a.junk_score - junk) < 1e-4 and abs(a.toxic_score - toxic) < 1e-4
+        assert a.kept == (max(a.junk_score, a.toxic_score) < 0.5)
+
+
+def test_long_texts(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, "x" * 2_000_000), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert c.classify(docs, labels).count() == 3
