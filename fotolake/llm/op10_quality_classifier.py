@@ -26,13 +26,15 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.llm.common import drop_scratch, materialize, own_caches, pick
 from fotolake.llm.hashes import part_hashes
 
-SAMPLE, BITS, ROUNDS, STEP, CLEAR = 20_000, 20, 300, 1.0, 5
+SAMPLE, BITS, ROUNDS, STEP, CLEAR = 20_000, 20, 200, 1.5, 5
+#: The most buckets that a scorer weighs: those that tell most.  Pairs of a text and a bucket that are worked on at once.
+WEIGHED, PAIRS = 4096, 1 << 19
 #: Lengths in bytes of beginnings of words that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Common insults in English, German, French and Spanish, in three lists that labellers use.
@@ -242,23 +244,31 @@ def fit_scorer(rows: list[np.ndarray], target: np.ndarray, trust: np.ndarray, us
     mean = float(np.clip(np.average(target, weights=trust) if len(target) else 0.0, 1e-4, 1 - 1e-4))
     if not len(rows):
         return weights, math.log(mean / (1 - mean))
-    flat = np.concatenate(rows).astype(np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     if use is None:
+        flat, of = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         use = np.flatnonzero(telling(np.bincount(flat, weights=trust[of], minlength=size), np.bincount(flat, weights=(trust * target)[of], minlength=size), mean))
-    place = np.full(size, -1, np.int64)
+    place = np.full(size, -1, np.int32)
     place[use] = np.arange(len(use))
-    col = place[flat]
-    col, row = col[col >= 0], of[col >= 0]
+    cols = [c[c >= 0] for c in (place[r] for r in rows)]
+    col, row = np.concatenate(cols), np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in cols])
+    del cols
+    parts = [slice(at, at + PAIRS) for at in range(0, len(col), PAIRS)]  # so that what is made on the way stays small
     k = len(use)
+
+    def by_row(w: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(row[x], weights=w[col[x]], minlength=len(rows)) for x in parts), np.zeros(len(rows)))
+
+    def by_bucket(v: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(col[x], weights=v[row[x]], minlength=k) for x in parts), np.zeros(k))
+
     w, bias, speed_w, speed_b = np.zeros(k), math.log(mean / (1 - mean)), np.zeros(k), 0.0
     # Each class counts the same in all, so that a rare kind is learned as well.
     balance = trust * np.where(target > 0.5, 0.5 / mean, 0.5 / (1 - mean))
-    support = np.bincount(col, weights=balance[row], minlength=k) + 1.0
+    support = by_bucket(balance) + 1.0
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col], minlength=len(rows)) + bias, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(by_row(w) + bias, -50, 50)))
         err = balance * (target - p)
-        speed_w = 0.8 * speed_w + 0.3 * (np.bincount(col, weights=err[row], minlength=k) - 0.05 * w) / support * STEP
+        speed_w = 0.8 * speed_w + 0.3 * (by_bucket(err) - 0.05 * w) / support * STEP
         speed_b = 0.8 * speed_b + 0.3 * err.sum() / balance.sum()
         w += speed_w / 4
         bias += speed_b
@@ -299,11 +309,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         means.append(float(np.clip(sum(c * math.prod(trusted(v, posterior)[k]) for v, c in told_all.items()) / max(total, 1e-9), 1e-4, 1 - 1e-4)))
     mean = F.when(F.col("kind") == 0, means[0]).otherwise(means[1])
     n, bad = F.col("n") / UNIT, F.col("bad") / UNIT
-    clear = sums.where((n >= 5) & (F.abs(bad - n * mean) > CLEAR * F.sqrt(n * mean * (1 - mean) + 1.0)))
-    use = [np.array(sorted(r.bucket for r in rows), np.int64) for rows in ([x for x in clear.select("bucket", "kind").collect() if x.kind == k] for k in (0, 1))]  # 2 ** BITS rows at most
+    z = F.abs(bad - n * mean) / F.sqrt(n * mean * (1 - mean) + 1.0)
+    best = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("z"), "bucket"))
+    clear = sums.withColumn("z", z).where((n >= 5) & (F.col("z") > CLEAR)).withColumn("best", best).where(F.col("best") <= WEIGHED)
+    clear = clear.select("bucket", "kind").collect()  # 2 * WEIGHED rows at most
+    use = [np.array(sorted(r.bucket for r in clear if r.kind == k), np.int64) for k in (0, 1)]
     sent = docs.sparkSession.sparkContext.broadcast(np.union1d(*use).astype(np.int32))
     # ``sample`` rows at most, with the buckets that are used.
-    rows = sorted(featured.mapInArrow(_with(sent), "h long, votes long, x binary").collect(), key=lambda r: r.h)
+    rows = featured.mapInArrow(_with(sent), "h long, votes long, x binary").orderBy("h").collect()
     for done in (voted, chosen, featured):
         drop_scratch(done)
     xs = [np.frombuffer(r.x, "<i4") for r in rows]
