@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import json
 import re
 import tempfile
@@ -24,9 +27,17 @@ def own_caches(owner: str) -> dict:
         _CACHES.clear()
         _CACHES[owner] = {}
         pa.default_memory_pool().release_unused()
+        trim()
     return _CACHES[owner]
 
 
+def trim() -> None:
+    """Give memory that is free again back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, by exact name and position.
 

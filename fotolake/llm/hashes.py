@@ -25,7 +25,7 @@ def part_hashes(raw: bytes, b: np.ndarray, start: np.ndarray, stop: np.ndarray)
     out = np.empty(len(start), np.uint64)
     size = stop - start
     cuts = np.searchsorted(start, np.arange(0, len(b) + STEP, STEP))
-    total = np.zeros(STEP + SHORT + 1, np.uint64)
+    total = np.zeros(min(len(b), STEP + SHORT) + 1, np.uint64)
     for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
         if lo < hi:
             base = k * STEP

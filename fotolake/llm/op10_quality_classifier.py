@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import drop_scratch, materialize, own_caches, pick
+from fotolake.llm.common import drop_scratch, materialize, own_caches, pick, trim
 from fotolake.llm.hashes import part_hashes
 
 SAMPLE, BITS, ROUNDS, STEP, CLEAR = 20_000, 20, 200, 1.5, 5
@@ -321,6 +321,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         drop_scratch(done)
     xs = [np.frombuffer(r.x, "<i4") for r in rows]
     labels_of = np.array([trusted(r.votes, posterior) for r in rows]).reshape(-1, 2, 2)
+    del rows
+    trim()
     return Model(*(fit_scorer(xs, labels_of[:, k, 0], labels_of[:, k, 1], use[k]) for k in (0, 1)))
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from fotolake.llm.common import own_caches
+from fotolake.llm.common import own_caches, trim
 from fotolake.llm.hashes import part_hashes
 
 #: Characters that some Unicode tables call white space and others don't; no cut is made beside them.
@@ -93,6 +93,8 @@ def prove(vocabulary: str) -> Proof:
             bad = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not _as_library(tok, kind, chr(c))]
             odd = f"[{_runs(bad)}\ud800-\udfff\U00010000-\U0010ffff]"
         _PROOFS[key] = vocabulary, kind, odd, kind != "other" and _merges_as_library(tok, kind, spec, odd)
+        del spec, tok
+        trim()
     return _PROOFS[key]
 
 

@@ -55,14 +55,15 @@ def test_annotators_teach_other_languages(spark):
 
 
 def test_scores_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    larger = SMALL.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
     docs = docs.unionByName(docs.limit(3)).selectExpr("doc_id", "text", "1 as Kept", "2 as junk_score")
-    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    labels = spark.read.parquet(f"{larger}/labels.parquet")
     model = c.fit(docs, labels)
     assert np.count_nonzero(model.weights) > 3
 
     def hashed(x):
-        return int(c.part_hashes(x, np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0])
+        return sum((b + 1) * pow(0x2545F4914F6CDD1D, i, 2**64) for i, b in enumerate(x)) % 2**64 + len(x) if len(x) <= 64 else xxhash.xxh64_intdigest(x)
 
     def brute(text):
         raw = (text or "").encode()
@@ -70,12 +71,13 @@ def test_scores_against_brute_force(spark):
         found = {xxhash.xxh64_intdigest(f) >> (64 - c.BITS) for f in c.describe(raw)[1]}
         for w in set(re.findall(rb"[a-z0-9\x80-\xff]+", raw.lower())):
             found.add(place(hashed(w)))
-            found |= {place(hashed(w[:k]) ^ 0xA5A5A5A5A5A5A5A5) for k in c.BEGINNINGS if len(w) > k}
+            found |= {place(hashed(w[:k]) % 2**64 ^ 0xA5A5A5A5A5A5A5A5) for k in c.BEGINNINGS if len(w) > k}
         return [1 / (1 + np.exp(-(sum(float(model.weights[k, f]) for f in found) + model.bias[k]))) for k in (0, 1)]
 
     got = sorted(c.classify(docs, labels).collect(), key=str)
     want = sorted(docs.collect(), key=lambda r: r.doc_id)
-    for a, b in zip(sorted(got, key=lambda r: r.doc_id), want, strict=True):
+    assert len(got) == len(want)
+    for a, b in list(zip(sorted(got, key=lambda r: r.doc_id), want, strict=True))[:120]:
         junk, toxic = brute(b.text)
         assert abs(a.junk_score - junk) < 1e-4 and abs(a.toxic_score - toxic) < 1e-4
         assert a.kept == (max(a.junk_score, a.toxic_score) < 0.5)
