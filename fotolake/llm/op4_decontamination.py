@@ -5,9 +5,9 @@ that hash set, which travels in the plan while it has at most ``in_plan`` hashes
 benchmark goes another way: windows of documents are joined with it by hash, shuffled by Spark.  Either
 way hits are then verified word by word, and words inside verified windows count as hit.
 
-Defined cases: null texts have no words and are clean; items without words match nothing; items with fewer words than a window
+Defined cases: null texts have no words and are clean; very long texts are scanned whole, in time linear in their words; items without words match nothing; items with fewer words than a window
 are one window; repeated rows are judged each on its own; items with equal windows are all reported;
-null item ids are ignored; an empty benchmark leaves everything clean; extra columns are ignored.
+null item ids are ignored; an empty benchmark leaves everything clean; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import pick
+from fotolake.llm.common import materialize, pick
 from fotolake.llm.windows import hash_pair, join_shifted, text_pair
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,24 +27,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATOR), lambda w: w != "")
 
 
-def hashed(words_: str, seed: int) -> Column:
-    return F.transform(words_, lambda w: F.xxhash64(w, F.lit(seed)))
+def hashed(words_: str) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k (number of words), h and v (two hashes), t (the words, joined) and items of each distinct window."""
+    """k (number of words), h (their hash), t (the words, joined) and items of each distinct window."""
     base = pick(benchmark, "item_id", "text").where("item_id is not null").select("item_id", words(F.col("text")).alias("w"))
-    base = base.select("item_id", "w", hashed("w", 0).alias("h1"), hashed("w", 1).alias("v1"), F.size("w").alias("n"))
+    base = base.select("item_id", "w", hashed("w").alias("h1"), F.size("w").alias("n"))
     every = None
     for k in range(1, window + 1):
         own = base.where(F.col("n") >= k if k == window else F.col("n") == k)
         own, h = join_shifted(own, k, "h1", hash_pair, "_h")
-        own, v = join_shifted(own, k, "v1", hash_pair, "_v")
         own, t = join_shifted(own, k, "w", text_pair, "_t")
-        own = own.select("item_id", F.explode(F.arrays_zip(F.col(h).alias("h"), F.col(v).alias("v"), F.col(t).alias("t"))).alias("x"))
-        own = own.select(F.lit(k).alias("k"), "x.h", "x.v", "x.t", "item_id")
+        own = own.select("item_id", F.explode(F.arrays_zip(F.col(h).alias("h"), F.col(t).alias("t"))).alias("x"))
+        own = own.select(F.lit(k).alias("k"), "x.h", "x.t", "item_id")
         every = own if every is None else every.unionByName(own)
-    return every.groupBy("k", "h", "v", "t").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    return every.groupBy("k", "h", "t").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 def _listed(hashes: list[int]) -> str:
@@ -58,47 +57,56 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, in_plan: i
     hashes = known.select("k", "h").distinct().limit(in_plan + 1).collect()
     small = len(hashes) <= in_plan
     widths = sorted({r.k for r in (hashes if small else known.select("k").distinct().collect())})
-    base = pick(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-    base = base.select("doc_id", "row", "w", F.size("w").alias("n_words"), hashed("w", 0).alias("h1"))
-    hits = [F.array().cast("array<struct<k:int,at:int,h:bigint,v:bigint,t:string>>")]
-    if small:
-        of = {k: _listed([r.h for r in hashes if r.k == k]) for k in widths}
-        some = F.lit(False)
-        names = {}
-        for k in widths:
-            base, names[k] = join_shifted(base, k, "h1", hash_pair, "_h")
-            some = some | F.expr(f"exists({names[k]}, x -> x in ({of[k]}))")
-        # Words are put together only in texts where a hash was met.
-        base = base.withColumn("_w", F.when(some, F.col("w")).otherwise(F.array().cast("array<string>")))
-        for k in widths:
-            base, t = join_shifted(base, k, "_w", text_pair, "_t")
-            met = F.expr(f"zip_with(slice({names[k]}, 1, size({t})), {t}, (x, y) -> if(x in ({of[k]}), y, null))")
-            hits.append(F.array_compact(F.transform(met, _with_text(k))))
-    else:
-        base = base.withColumn("v1", hashed("w", 1))
-        for k in widths:
-            base, h = join_shifted(base, k, "h1", hash_pair, "_h")
-            base, v = join_shifted(base, k, "v1", hash_pair, "_v")
-            both = F.zip_with(F.col(h), F.col(v), lambda x, y: F.struct(x.alias("h"), y.alias("v")))
-            hits.append(F.transform(both, _with_hashes(k)))
+    base = pick(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("row"), "text", words(F.col("text")).alias("w"))
+    if not small:
+        return _scan_by_join(base, known, widths)
+    base = base.select("doc_id", "row", "w", F.size("w").alias("n_words"), hashed("w").alias("h1"))
+    hits = [F.array().cast("array<struct<k:int,at:int,t:string>>")]
+    of = {k: _listed([r.h for r in hashes if r.k == k]) for k in widths}
+    some = F.lit(False)
+    names = {}
+    for k in widths:
+        base, names[k] = join_shifted(base, k, "h1", hash_pair, "_h")
+        some = some | F.expr(f"exists({names[k]}, x -> x in ({of[k]}))")
+    # Words are put together only in texts where a hash was met.
+    base = base.withColumn("_w", F.when(some, F.col("w")).otherwise(F.array().cast("array<string>")))
+    for k in widths:
+        base, t = join_shifted(base, k, "_w", text_pair, "_t")
+        met = F.expr(f"zip_with(slice({names[k]}, 1, size({t})), {t}, (x, y) -> if(x in ({of[k]}), y, null))")
+        hits.append(F.array_compact(F.transform(met, _with_text(k))))
     rows = base.select("row", "doc_id", "n_words", F.explode_outer(F.concat(*hits)).alias("x")).select("row", "doc_id", "n_words", "x.*")
-    if small:  # at most in_plan windows and their items
-        return _met(rows.join(F.broadcast(known.select("k", "t", "items")), ["k", "t"], "left"))
-    # Verified by both hashes, 128 bits; a left join keeps one row at least of each document below.
-    return _met(rows.drop("t").join(known.select("k", "h", "v", "items"), ["k", "h", "v"], "left"))
+    # At most in_plan windows and their items.
+    return _met(rows.join(F.broadcast(known.select("k", "t", "items")), ["k", "t"], "left"))
 
 
-def _with_text(k: int):
-    return lambda y, at: F.when(y.isNotNull(), _hit(k, at, t=y))
+def _scan_by_join(base: DataFrame, known: DataFrame, widths: list[int]) -> DataFrame:
+    """The same hits for a benchmark of any size: windows meet it by hash, and those that do are compared by their words.
+
+    Texts are known by a digest; of equal texts one is compared.  Only texts with a window that met are shuffled.
+    """
+    keyed = base.select("row", "doc_id", "w", F.size("w").alias("n_words"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    hashes = keyed.select("key", "w", hashed("w").alias("h1"))
+    every = []
+    for k in widths:
+        hashes, h = join_shifted(hashes, k, "h1", hash_pair, "_h")
+        every.append(F.transform(h, _with_hash(k)))
+    places = F.array().cast("array<struct<k:int,at:int,h:bigint>>")
+    met = hashes.select("key", F.explode(F.concat(places, *every)).alias("x")).select("key", "x.*")
+    met = materialize(met.join(known.select("k", "h").distinct(), ["k", "h"]).dropDuplicates(["key", "k", "at"]), "met")
+    texts = keyed.select("key", "w").join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    of_text = met.groupBy("key").agg(F.collect_list(F.struct("k", "at")).alias("places"))  # at most a few for each word of the text
+    said = F.transform("places", lambda x: F.struct(x["k"].alias("k"), x["at"].alias("at"), F.array_join(F.slice("w", x["at"] + 1, x["k"]), " ").alias("t")))
+    told = texts.join(of_text, "key").select("key", F.explode(said).alias("x")).select("key", "x.*")
+    told = told.join(known.select("k", "t", "items"), ["k", "t"]).select("key", "at", "k", "items")
+    return _met(keyed.select("row", "doc_id", "n_words", "key").join(told, "key", "left"))
 
 
-def _with_hashes(k: int):
-    return lambda x, at: _hit(k, at, h=x["h"], v=x["v"])
+def _with_text(k: int):
+    return lambda y, at: F.when(y.isNotNull(), F.struct(F.lit(k).alias("k"), at.alias("at"), y.alias("t")))
 
 
-def _hit(k: int, at: Column, h: Column | None = None, v: Column | None = None, t: Column | None = None) -> Column:
-    none = F.lit(None)
-    return F.struct(F.lit(k).alias("k"), at.alias("at"), (none if h is None else h).cast("long").alias("h"), (none if v is None else v).cast("long").alias("v"), (none if t is None else t).cast("string").alias("t"))
+def _with_hash(k: int):
+    return lambda h, at: F.struct(F.lit(k).alias("k"), at.alias("at"), h.alias("h"))
 
 
 def _met(rows: DataFrame) -> DataFrame:

@@ -151,6 +151,29 @@ def test_removal(spark):
     assert {r.doc_id: r.text for r in spans.collect()} == {1: "A. B", 2: "clean", 3: None, None: "x"}
 
 
+@pytest.mark.parametrize("in_plan", [60_000, 1])
+@pytest.mark.parametrize("mode", ["documents", "spans"])
+def test_removal_against_brute_force(spark, in_plan, mode):
+    """Null and repeated ids, repeated rows, ties of items, a clashing column and a very long text."""
+    items = [(1, "one two three"), (2, "one two three"), (3, " ".join(f"k{i}" for i in range(14))), (None, "clean"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    long = " ".join(f"k{i % 20}" for i in range(6_000))
+    texts = [(None, "x one two three"), (None, "clean"), (None, None), (None, "One, two. THREE"), (7, "one two three"), (7, "clean too"), (7, "clean too"), (8, ""), (9, long), (9, long)]
+    rows = [(i, t, "k") for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Text_Key string")
+    hit = [x[-1] for x in brute_hits(texts, [x for x in items if x[0] is not None])]
+    got = d.decontaminate(docs, bench, mode, in_plan=in_plan)
+    assert got.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    if mode == "documents":
+        assert got == sorted((x for x, bad in zip(texts, hit, strict=True) if not bad), key=str)
+        assert d.decontaminate(docs.limit(0), bench, in_plan=in_plan).count() == 0
+    else:
+        assert len(got) == len(texts) and [x for x in got if x[0] == 8 or x[1] is None] == [(8, ""), (None, None)]
+        left = [len(re.findall(r"\w+", t)) for i, t in got if i == 9]
+        assert left == [6_000 - n for i, _, n, *_ in brute_hits(texts, items[:3]) if i == 9] and left[0] > 0
+
+
 def test_removal_tells_rows_apart_by_text(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     docs = spark.createDataFrame([(None, "x one two three"), (None, "clean"), (None, None), (7, "one two three"), (7, "clean too")], "doc_id long, text string")
