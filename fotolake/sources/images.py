@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +44,73 @@ def load_exif(files: DataFrame, compat: bool = False, mode: str = "PERMISSIVE")
 
 
 def load_images(spark: SparkSession, path: str, codecs: dict[str, Codec] | None = None, require_exif: bool = True, compat: bool = False, mode: str = "PERMISSIVE", glob: str | None = None) -> DataFrame:
-    """Decoded images: row-major interleaved RGB.  require_exif: a JPEG without EXIF data is an error."""
-    return decode_images(scan(spark, path, glob), codecs, require_exif, compat, mode)
+    """Decoded images: row-major interleaved RGB.  require_exif: a JPEG without EXIF data is an error.
+
+    Without a codec of its own a JPEG is decoded by the JVM, in Spark's image source, and joined with its EXIF data by path.
+    """
+    files = scan(spark, path, glob)
+    if "jpeg" in (codecs or {}):
+        return decode_images(files, codecs, require_exif, compat, mode)
+    jpegs = files.where("format = 'jpeg'")
+    rest = decode_images(files.where("format <> 'jpeg'"), codecs, require_exif, compat, mode)
+    return rest.unionByName(_jpegs(jpegs, jvm_pixels(spark, path, glob), require_exif, compat, mode))
+
+
+def jvm_pixels(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """path (as in scan) and image (Spark's struct) of each file; those that the JVM can't read have a negative height."""
+    reader = spark.read.format("image").option("dropInvalid", False)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    # The metadata's path is percent-encoded, the scan's is not.
+    return reader.load(path).select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("at"), "image")
+
+
+def _same_file(path: Column) -> Column:
+    """A path with one slash after its scheme, since file:/x and file:///x are the same."""
+    return F.regexp_replace(path, "^([^:/]+):/+", "$1:/")
+
+
+def _jpegs(files: DataFrame, found: DataFrame, require_exif: bool, compat: bool, mode: str) -> DataFrame:
+    """Rows of IMAGE of JPEG files: EXIF data from their bytes, pixels from the JVM."""
+
+    def tags(kind: str, data: bytes) -> dict:
+        try:
+            return {"exif": tiff.exif(data, compat)}
+        except tiff.BadFile:
+            if require_exif:
+                raise
+            return {"exif": {}}
+
+    both = _map(files, METADATA, tags, mode).join(found, _same_file(F.col("path")) == _same_file(F.col("at")), "left")
+    bad = F.coalesce(F.col("image.height") <= 0, F.lit(True))
+    lost = F.struct(F.lit("decode").alias("stage"), F.lit("the JPEG can't be decoded").alias("message"))
+    if mode == "FAILFAST":
+        lost = F.raise_error(F.concat(F.lit("the JPEG can't be decoded: "), "path")).cast(ERROR)
+    both = both.withColumn("error", F.when(F.col("error").isNotNull(), F.col("error").withField("stage", F.lit("decode"))).when(bad, lost))
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    both = both.select(
+        "path", "format", good(F.col("image.width")).alias("width"), good(F.col("image.height")).alias("height"),
+        good(F.col("image.nChannels")).alias("n_channels"), good(F.col("image.data")).alias("data"), good(F.col("exif")).alias("exif"), "error",
+    )
+    return both.mapInArrow(_as_rgb, IMAGE)
+
+
+def rgb_of(data: bytes, channels: int) -> bytes:
+    """RGB of Spark's image bytes: grey, or blue-green-red with or without alpha, which is left out."""
+    px = np.frombuffer(data, np.uint8).reshape(-1, channels)
+    return (np.repeat(px, 3, axis=1) if channels == 1 else np.ascontiguousarray(px[:, 2::-1])).tobytes()
+
+
+def _as_rgb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        channels, data = b.schema.get_field_index("n_channels"), b.schema.get_field_index("data")
+        for i in range(b.num_rows):  # one image at a time
+            one = b.slice(i, 1)
+            if one.column(data)[0].is_valid:
+                rgb = rgb_of(one.column(data)[0].as_py(), one.column(channels)[0].as_py())
+                one = one.set_column(data, b.schema.field(data), pa.array([rgb], b.schema.field(data).type))
+                one = one.set_column(channels, b.schema.field(channels), pa.array([3], pa.int32()))
+            yield one
 
 
 def decode_images(files: DataFrame, codecs: dict[str, Codec] | None = None, require_exif: bool = True, compat: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
@@ -86,15 +151,11 @@ def develop(data: bytes, tags: dict[int, dict], compat: bool = False) -> np.ndar
 
 
 def jvm_images(spark: SparkSession, path: str) -> DataFrame:
-    """JPEG and PNG by Spark's own image source, with its blue-green-red bytes put in order."""
-    image = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*").where("nChannels = 3")
-
-    def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rgb = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 3)[:, ::-1].tobytes() for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(rgb, pa.binary())], ["path", "width", "height", "data"])
-
-    return image.select("origin", "width", "height", "data").mapInArrow(swap, "path string, width int, height int, data binary")
+    """What Spark's own image source reads, as RGB; files that it can't read have nulls."""
+    good = F.col("image.height") > 0
+    image = jvm_pixels(spark, path).select(F.col("at").alias("path"), *(F.when(good, F.col(f"image.{c}")).alias(c) for c in ("width", "height", "nChannels", "data")))
+    image = image.withColumnRenamed("nChannels", "n_channels")
+    return image.mapInArrow(_as_rgb, image.schema).drop("n_channels")
 
 
 def resize_images(images: DataFrame, width: int, height: int) -> DataFrame:

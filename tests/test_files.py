@@ -209,6 +209,45 @@ def test_jvm_source(spark, folder):
     assert (r.width, r.height, bytes(r.data)) == (3, 2, b"\t" * 18)
 
 
+def test_jpeg_pixels_and_exif(spark, tmp_path):
+    """Grey and colour JPEGs written by the JVM, with and without EXIF data, under a name with a space, and a broken one."""
+    gate = spark.sparkContext._gateway
+    jvm = gate.jvm
+
+    def write(name, kind, rgb):
+        im = jvm.java.awt.image.BufferedImage(8, 16, kind)
+        for y in range(16):
+            for x in range(8):
+                im.setRGB(x, y, rgb)
+        jvm.javax.imageio.ImageIO.write(im, "jpg", jvm.java.io.File(str(tmp_path / name)))
+        return (tmp_path / name).read_bytes()
+
+    app = b"Exif\0\0" + build([{"entries": [(271, 2, b"Make\0")]}])
+    app = b"\xff\xe1" + struct.pack(">H", len(app) + 2) + app
+    for name, kind, rgb in (("a b+%41.jpg", 5, 0xF01414), ("grey.dat", 10, 0x808080)):
+        data = write(name, kind, rgb - (1 << 24))
+        (tmp_path / name).write_bytes(data[:2] + app + data[2:])
+    write("plain.jpg", 5, 0x0000F0 - (1 << 24))
+    (tmp_path / "broken.jpg").write_bytes(b"\xff\xd8" + app + b"\xff\xd9")
+    rows = {r.path.rsplit("/", 1)[1]: r for r in images.load_images(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["a b+%41.jpg", "broken.jpg", "grey.dat", "plain.jpg"]
+    red, grey = rows["a b+%41.jpg"], rows["grey.dat"]
+    for r in (red, grey):
+        assert r.error is None and (r.format, r.width, r.height, r.n_channels) == ("jpeg", 8, 16, 3) and r.exif[271].ascii == "Make"
+    px = np.frombuffer(red.data, np.uint8).reshape(16, 8, 3).astype(int)
+    assert (abs(px - [0xF0, 0x14, 0x14]) < 8).all()
+    px = np.frombuffer(grey.data, np.uint8).reshape(16, 8, 3)
+    assert (px[..., 0] == px[..., 1]).all() and (px[..., 0] == px[..., 2]).all() and len(set(px.ravel())) == 1
+    assert {k: (rows[k].error.stage, rows[k].error.message) for k in ("plain.jpg", "broken.jpg")} == {"plain.jpg": ("decode", "no EXIF data"), "broken.jpg": ("decode", "the JPEG can't be decoded")}
+    assert all(rows[k].data is None and rows[k].width is None for k in ("plain.jpg", "broken.jpg"))
+    loose = {r.path.rsplit("/", 1)[1]: r for r in images.load_images(spark, str(tmp_path), require_exif=False, glob="p*.jpg").collect()}
+    px = np.frombuffer(loose["plain.jpg"].data, np.uint8).reshape(-1, 3).astype(int)
+    assert loose["plain.jpg"].error is None and loose["plain.jpg"].exif == {} and (abs(px - [0, 0, 0xF0]) < 8).all()
+    with pytest.raises(Exception, match="can't be decoded"):
+        images.load_images(spark, str(tmp_path), glob="broken*", mode="FAILFAST").collect()
+    assert images.rgb_of(bytes([3, 2, 1, 9, 6, 5, 4, 9]), 4) == bytes([1, 2, 3, 4, 5, 6])
+
+
 def test_truncated_files_give_errors(spark, folder):
     for name in ("a.png", "b.arw", "c.jpg"):
         data = (folder / name).read_bytes()
