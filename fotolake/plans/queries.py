@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from fotolake.functions import exif, formats
 from fotolake.operators import pixels, raw
 from fotolake.plans import bridge as b
+from fotolake.plans.registry import query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 # Names of some common tags.
 NAMES = {
     256: "ImageWidth", 257: "ImageHeight", 258: "BitsPerSample", 259: "Compression", 262: "PhotometricInterpretation", 271: "Make", 272: "Model",
@@ -22,15 +21,6 @@ NAMES = {
 }
 
 
-def query(sql: str):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---- formats and headers ----
 
 
@@ -68,11 +58,11 @@ def dng_version_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- RAW directories ----
 
-_FIELDS = """SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_custkey % 50 + 1 END AS width, CASE WHEN o_orderkey % 13 > 0 THEN 10 END AS height,
+FIELDS_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_custkey % 50 + 1 END AS width, CASE WHEN o_orderkey % 13 > 0 THEN 10 END AS height,
   CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 2 * 32766 + 1 END AS compression, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 5 // 4 * 2 + 1 END AS samples,
   CASE WHEN o_orderkey % 4 > 0 THEN 12 END AS bits, CASE o_custkey % 3 WHEN 0 THEN 'SONY' WHEN 1 THEN 'Sony X' ELSE 'Other' END AS make FROM orders"""
 _CANDIDATE = f"""strips AS (SELECT l_orderkey, count(l_partkey) AS n_offsets, count(CASE WHEN l_linenumber < 7 THEN 1 END) AS n_counts, CAST(sum(CASE WHEN l_linenumber < 7 THEN CAST(l_quantity AS BIGINT) * 5 END) AS BIGINT) AS total
-  FROM lineitem GROUP BY l_orderkey), fields AS ({_FIELDS}), candidate AS (
+  FROM lineitem GROUP BY l_orderkey), fields AS ({FIELDS_SQL}), candidate AS (
   SELECT o_orderkey, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, CAST(coalesce(compression, 1) AS BIGINT) AS compression, CAST(coalesce(bits, 14) AS BIGINT) AS bits, total, lower(make) LIKE 'sony%' AS sony
   FROM fields JOIN strips ON o_orderkey = l_orderkey WHERE width IS NOT NULL AND height IS NOT NULL AND coalesce(samples, 1) = 1 AND n_offsets = n_counts AND n_counts > 0)"""
 
@@ -169,16 +159,16 @@ def strip_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- EXIF ----
 
-_LAST = f"""{b.ENTRY_SQL}, last AS (SELECT file, tag, section, ord, val FROM (SELECT *, row_number() OVER (PARTITION BY file, tag ORDER BY {b.RANK_SQL} DESC, ord DESC) AS rn FROM entry) WHERE rn = 1)"""
+LAST_SQL = f"""{b.ENTRY_SQL}, last AS (SELECT file, tag, section, ord, val FROM (SELECT *, row_number() OVER (PARTITION BY file, tag ORDER BY {b.RANK_SQL} DESC, ord DESC) AS rn FROM entry) WHERE rn = 1)"""
 
 
-@query(f"WITH {_LAST} SELECT * FROM last")
+@query(f"WITH {LAST_SQL} SELECT * FROM last")
 def exif_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = b.entries(spark, sf_dir).withColumn("rank", exif.section_rank(F.col("section")))
     return exif.overlay(ranked, ["file", "tag"], ["rank", "ord"], ["section", "ord", "val"])
 
 
-@query(f"WITH {_LAST} SELECT file, val FROM last WHERE tag = 42")
+@query(f"WITH {LAST_SQL} SELECT file, val FROM last WHERE tag = 42")
 def exif_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exif_overlay(spark, sf_dir).where("tag = 42").select("file", "val")
 
@@ -211,7 +201,7 @@ def exif_type_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_LAST} SELECT file, CAST(coalesce(max(CASE WHEN tag = 10 THEN val % 1000 END), 512) AS BIGINT) AS black,
+    f"""WITH {LAST_SQL} SELECT file, CAST(coalesce(max(CASE WHEN tag = 10 THEN val % 1000 END), 512) AS BIGINT) AS black,
   CASE WHEN count(CASE WHEN tag = 20 THEN 1 END) > 0 THEN max(CASE WHEN tag = 20 THEN val END) / 1000.0::DOUBLE ELSE 1.0::DOUBLE END AS red FROM last GROUP BY file"""
 )
 def wb_black_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,10 +218,10 @@ def wb_black_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {b.MOSAIC_SQL} SELECT vec_id, y, x, dn FROM mosaic")
 def uncompressed14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _decoded(b.plane_bytes(spark, sf_dir), lambda data: raw.uncompressed14(data, 8, 8))
+    return decoded(b.plane_bytes(spark, sf_dir), lambda data: raw.uncompressed14(data, 8, 8))
 
 
-def _decoded(rows: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
+def decoded(rows: DataFrame, decode: Callable[[bytes], np.ndarray]) -> DataFrame:
     """vec_id, y, x, dn of each plane: one Arrow crossing, whole batches out."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +262,7 @@ def arw2_block(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_block(p) for p in batch.column(1).to_pylist()], pa.binary())], ["vec_id", "data"])
 
     rows = b.planes(spark, sf_dir).mapInArrow(work, "vec_id long, data binary")
-    return _decoded(rows, lambda data: raw.arw2(data, 16, 1)).select("vec_id", "x", "dn")
+    return decoded(rows, lambda data: raw.arw2(data, 16, 1)).select("vec_id", "x", "dn")
 
 
 @query(
@@ -319,7 +309,7 @@ def _demosaic_sql() -> str:
     return f"rgb AS (SELECT vec_id, y, x, {parts} FROM (SELECT m.vec_id, y, x, p FROM mosaic m JOIN (SELECT vec_id, list(dn ORDER BY i) AS p FROM mosaic GROUP BY vec_id) l ON m.vec_id = l.vec_id))"
 
 
-_RGB = f"{b.MOSAIC_SQL}, {_demosaic_sql()}"
+RGB_SQL = f"{b.MOSAIC_SQL}, {_demosaic_sql()}"
 
 
 @query(f"WITH {b.MOSAIC_SQL} SELECT vec_id, y, x, CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN 'R' WHEN y % 2 = 1 AND x % 2 = 1 THEN 'B' ELSE 'G' END AS colour FROM mosaic")
@@ -333,7 +323,7 @@ def wb_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.mosaic(spark, sf_dir).select("vec_id", "y", "x", v.alias("v"))
 
 
-@query(f"WITH {_RGB} SELECT * FROM rgb")
+@query(f"WITH {RGB_SQL} SELECT * FROM rgb")
 def demosaic_rgb8_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expressions within a row: no shuffle."""
     px = pixels.demosaic_array(F.col("plane"), 8, 8, b.BLACK, b.WHITE, b.GAINS, b.OVER)
@@ -360,17 +350,17 @@ def _rgb_rows(rows: DataFrame, turn: bool) -> DataFrame:
     return rows.mapInArrow(work, "vec_id long, y int, x int, r int, g int, b int")
 
 
-@query(f"WITH {_RGB} SELECT * FROM rgb")
+@query(f"WITH {RGB_SQL} SELECT * FROM rgb")
 def demosaic_rgb8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernel for whole images, over the same planes."""
     return _rgb_rows(b.plane_bytes(spark, sf_dir), False)
 
 
-_TURN_Y = "CASE vec_id % 8 + 1 WHEN 8 THEN 7 - x WHEN 6 THEN x ELSE y END"
-_TURN_X = "CASE vec_id % 8 + 1 WHEN 8 THEN y WHEN 6 THEN 7 - y ELSE x END"
+TURN_Y = "CASE vec_id % 8 + 1 WHEN 8 THEN 7 - x WHEN 6 THEN x ELSE y END"
+TURN_X = "CASE vec_id % 8 + 1 WHEN 8 THEN y WHEN 6 THEN 7 - y ELSE x END"
 
 
-@query(f"WITH {_RGB} SELECT vec_id, CAST({_TURN_Y} AS INTEGER) AS y, CAST({_TURN_X} AS INTEGER) AS x, r, g, b FROM rgb")
+@query(f"WITH {RGB_SQL} SELECT vec_id, CAST({TURN_Y} AS INTEGER) AS y, CAST({TURN_X} AS INTEGER) AS x, r, g, b FROM rgb")
 def image_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes to samples to RGB to upright pictures."""
     return _rgb_rows(b.plane_bytes(spark, sf_dir), True)
@@ -388,7 +378,7 @@ def rotate270(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.mosaic(spark, sf_dir).select("vec_id", y.alias("y"), x.alias("x"), "dn")
 
 
-@query(f"WITH {b.MOSAIC_SQL} SELECT vec_id, CAST({_TURN_Y} AS INTEGER) AS y, CAST({_TURN_X} AS INTEGER) AS x, dn FROM mosaic")
+@query(f"WITH {b.MOSAIC_SQL} SELECT vec_id, CAST({TURN_Y} AS INTEGER) AS y, CAST({TURN_X} AS INTEGER) AS x, dn FROM mosaic")
 def orientation_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn, y, x = F.col("vec_id") % 8 + 1, F.col("y"), F.col("x")
     new_y = F.when(turn == 8, 7 - x).when(turn == 6, x).otherwise(y)
