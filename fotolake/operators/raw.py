@@ -75,6 +75,12 @@ def huffman(compat: bool = False) -> tuple[list[int], list[int]]:
     return bits.tolist(), symbols.tolist()
 
 
+@lru_cache(maxsize=2)
+def _tables(compat: bool) -> tuple[np.ndarray, np.ndarray]:
+    bits, symbols = huffman(compat)
+    return np.array(bits), np.array(symbols)
+
+
 def difference(value: int, length: int, dng: int | None = None) -> int:
     if length == 0:
         return 0
@@ -93,46 +99,65 @@ def _unstuffed(data: bytes) -> bytes:
     return data.replace(b"\xff\x00", b"\xff")
 
 
+def _differences(data: bytes, n: int, dng: int | None, compat: bool, block: int = 1 << 17) -> tuple[np.ndarray, str | None]:
+    """The first n differences, or those before the data ends and what is missing there.
+
+    How far a code reaches is looked up for every bit of a block at once; a loop then only hops from code to code.
+    """
+    bits, symbols = _tables(compat)
+    extra = symbols.copy()
+    if not dng or dng >= 0x1010000:
+        extra[symbols == 16] = 0
+    size = 8 * len(data)
+    whole = np.frombuffer(data + bytes(8), np.uint8)
+    parts, at, done = [], 0, 0
+    while done < n and at < size:
+        first = at >> 3
+        own = whole[first : first + block + 8].astype(np.int64)
+        five = sum(own[k : len(own) - 4 + k] << (32 - 8 * k) for k in range(5))
+        window = five[: min(block, len(five)), None] >> (25 - np.arange(8)) & 0x7FFF
+        hops = (bits + extra)[window].ravel().tolist()
+        base, places = 8 * first, []
+        end = min(size - base, len(hops))
+        here = at - base
+        while here < end and done < n:
+            places.append(here)
+            here += hops[here]
+            done += 1
+        at = base + here
+        p = np.array(places)
+        c = window[p >> 3, p & 7]
+        q = p + bits[c]
+        # A code at the end of a block has its bits within the eight bytes behind it.
+        value = five[np.minimum(q >> 3, len(five) - 1)] >> (40 - (q & 7) - extra[c]) & ((1 << extra[c]) - 1)
+        plus = np.where(value >> np.maximum(extra[c] - 1, 0) & 1, value, value - (1 << extra[c]) + 1)
+        parts.append(np.where(extra[c] > 0, plus, np.where(symbols[c] == 16, -32768, 0)))
+        code_end = base + int(q[-1])
+    found = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    if at > size:
+        return found[:-1], "code" if code_end > size else "bits"
+    if done < n:  # at the very end, where a window is 0
+        return found, "code" if bits[0] else "bits"
+    return found, None
+
+
 def arw_ljpeg(data: bytes, width: int, height: int, dng: int | None = None, compat: bool = False, extra_rows: int = 8) -> np.ndarray:
     """Huffman-coded differences, summed through the whole plane: columns from the right, even rows and then odd ones.
 
     The plane has extra_rows more rows than come out; odd rows are only there if its height is even.
     """
     _check(width, height)
-    bits, symbols = huffman(compat)
-    data = _unstuffed(data)
-    size = 8 * len(data)
-    whole = int.from_bytes(data, "big") if len(data) < 64 else None
     total = height + extra_rows
-    order = list(range(0, total, 2)) + (list(range(1, total, 2)) if total % 2 == 0 else [])
+    order = np.array([*range(0, total, 2), *(range(1, total, 2) if total % 2 == 0 else ())])
+    found, missing = _differences(_unstuffed(data), width * len(order), dng, compat)
+    acc = np.cumsum(found)
+    if ((acc < 0) | (acc >= 4096)).any():
+        raise DecodeError("accumulator overflow")
+    if missing:
+        raise DecodeError(f"{missing} beyond the end of data")
     out = np.zeros((height, width), np.uint16)
-    at = acc = 0
-
-    def window(n: int) -> int:
-        if whole is not None:
-            return (whole >> size - at - n if size - at >= n else whole << n - (size - at)) & ((1 << n) - 1)
-        first = at >> 3
-        chunk = data[first : first + 5].ljust(5, b"\x00")
-        return int.from_bytes(chunk, "big") >> (40 - (at & 7) - n) & ((1 << n) - 1)
-
-    for col in range(width - 1, -1, -1):
-        for row in order:
-            c = window(15) if at < size else 0
-            at += bits[c]
-            length = symbols[c]
-            if at > size:
-                raise DecodeError("code beyond the end of data")
-            value = 0
-            if length and not (length == 16 and (not dng or dng >= 0x1010000)):
-                value = window(length) if at < size else 0
-                at += length
-                if at > size:
-                    raise DecodeError("bits beyond the end of data")
-            acc += difference(value, length, dng)
-            if not 0 <= acc < 4096:
-                raise DecodeError("accumulator overflow")
-            if row < height:
-                out[row, col] = acc
+    there = order < height
+    out[order[there]] = acc.reshape(width, len(order))[::-1, there].T
     return out
 
 

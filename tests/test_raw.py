@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from fotolake.operators import pixels, raw
+from fotolake.plans.files import ljpeg_bytes
 
 GOLDEN = [
     (600, 100, "5822832420201814108d8ae89625e3ff", "100 104 600 108 112 120 132 152 184 100 236 320 456 500 580 608"),
@@ -140,3 +141,15 @@ def test_resize_keeps_flat_pictures(h, w, th, tw, level):
     out = pixels.resize(np.full((h, w, 3), level, np.uint8), tw, th)
     assert out.shape == (th, tw, 3) and (out == level).all()
     assert (pixels.lanczos_weights(w, tw, fixed=14).sum(axis=1) == 1 << 14).all()
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 1 << 17])
+def test_differences_do_not_depend_on_the_block(block):
+    rng = random.Random(3)
+    plane = [min(4095, max(0, 2000 + rng.randint(-900, 900))) for _ in range(256)]
+    data = ljpeg_bytes(plane, 16)
+    assert raw.arw_ljpeg(data, 16, 16).ravel().tolist() == plane
+    clean = raw._unstuffed(data)
+    found, missing = raw._differences(clean, 16 * 24, None, False, block)
+    assert missing is None and (found == raw._differences(clean, 16 * 24, None, False)[0]).all()
+    assert raw._differences(clean[:-9], 16 * 24, None, False, block)[1] in ("code", "bits")
