@@ -31,3 +31,13 @@ def test_stages(spark, tmp_path):
                 assert (r.text == before[i].text) == (sum(personal(before[i].text)[:4]) == 0) and r.n_chars == len(r.text)
         if name == "quality classifier":
             assert 0.5 * len(before) < len(after) < len(before) and all(after[i] == before[i] for i in after)
+
+
+def test_run_is_the_stages_one_after_another(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in c.STAGES:
+        docs = stage(spark, docs, SMALL)
+    key = ("doc_id", "piece")
+    want = {tuple(r[k] for k in key): (r.start, r.length, r.ids_crc32) for r in docs.collect()}
+    got = {tuple(r[k] for k in key): (r.start, r.length, r.ids_crc32) for r in c.run(spark, SMALL).collect()}
+    assert got == want and len(got) > 0
