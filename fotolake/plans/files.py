@@ -6,7 +6,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fotolake.functions import exif, formats
@@ -215,7 +215,7 @@ def _raw_file(r: dict) -> dict:
     return {"path": str(r["vec_id"]), "content": made(len(made(0))) + data[half:] + data[:half]}
 
 
-def _pixels(width: int, n: int) -> list:
+def _pixels(width: int, n: int) -> Column:
     """y, x, r, g, b of a picture's bytes."""
     byte = lambda i, c: formats.unsigned(F.col("data"), 3 * i + c, 1).cast("int")
     one = lambda i: F.struct(F.floor(i / width).cast("int").alias("y"), (i % width).alias("x"), *(byte(i, c).alias(k) for c, k in enumerate("rgb")))
